@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, pii
 from ._common import read
 
 
@@ -12,7 +13,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op8_mixing": op8_mixing}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), spans="spans")
+    counts = [F.size(F.filter("spans", lambda m, k=k: m["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", F.size("spans").alias("n_pii"), *counts, F.array_join(F.transform("spans", lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["pseudonym"])), ",").alias("pseudonyms"), "text")
+
+
+QUERIES = {"op8_mixing": op8_mixing, "op10_pii": op10_pii}
 
 SQL = {
     "op8_mixing": r"""
