@@ -15,7 +15,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), spans="spans")
-    counts = [F.size(F.filter("spans", lambda m, k=k: m["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
+    of = lambda k: F.size(F.filter("spans", lambda m: m["kind"] == k)).alias(f"n_{k}")
+    counts = [of(k) for k in pii.KINDS]
     return out.select("doc_id", F.size("spans").alias("n_pii"), *counts, F.array_join(F.transform("spans", lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["pseudonym"])), ",").alias("pseudonyms"), "text")
 
 
