@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii
+from . import mixing, pii, secrets
 from ._common import read
 
 
@@ -20,9 +20,44 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("spans").alias("n_pii"), *counts, F.array_join(F.transform("spans", lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["pseudonym"])), ",").alias("pseudonyms"), "text")
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_pii": op10_pii}
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    of = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
+    base = secrets.written(F.col("base"))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def _secret_sql() -> str:
+    """Positions come from the gaps between matches, as in the query, or each kind in turn; the join is on the row."""
+    def hits(kind: str) -> str:
+        p = secrets.PATTERNS[kind].replace("'", "''")
+        value = f"regexp_extract_all(text, '{p}', 2)" if kind == "assign" else "h"
+        least = {"assign": "len(v) >= 12", "access": "len(v) >= 18", "hex": "true", "secret": "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')"}.get(kind, "true")
+        return f"""SELECT r, {secrets.KINDS.index(kind)} AS no, s AS start, s + len(m) AS stop FROM (
+  SELECT r, unnest(h) AS m, unnest({value}) AS v, unnest(list_transform(range(1, len(h) + 1), lambda i: len(array_to_string(g[:i], '')) + len(array_to_string(h[:i - 1], '')))) AS s
+  FROM (SELECT r, text, regexp_extract_all(text, '{p}') AS h, string_split_regex(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}'))) WHERE {least}"""
+
+    every = " UNION ALL ".join(hits(k) for k in secrets.KINDS)
+    names = "['" + "', '".join(secrets.KINDS) + "']"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({every}),
+p AS (SELECT *, CASE WHEN no IN (0, 2, 4) THEN 'secret' WHEN no IN (1, 3) THEN 'identifier' ELSE 'endpoint' END AS role FROM a
+      WHERE no <> 4 OR NOT EXISTS (SELECT 1 FROM a b WHERE b.r = a.r AND b.no < 3 AND b.start < a.stop AND b.stop > a.start)),
+k AS (SELECT * FROM p WHERE no < 3 OR EXISTS (SELECT 1 FROM p o WHERE o.r = p.r AND o.role = CASE p.role WHEN 'secret' THEN 'identifier' ELSE 'secret' END
+        AND o.start <= p.stop + {secrets.SCOPE} AND o.stop >= p.start - {secrets.SCOPE})),
+g AS (SELECT r, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+        string_agg({names}[no + 1] || ':' || start || ':' || stop, ',' ORDER BY start, no, stop) FILTER (no < 3) AS base,
+        string_agg({names}[no + 1] || ':' || start || ':' || stop, ',' ORDER BY start, no, stop) AS spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op8_mixing": op8_mixing, "op10_pii": op10_pii}
 
 SQL = {
+    "op1_secrets": _secret_sql(),
     "op8_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
