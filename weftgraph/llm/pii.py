@@ -12,6 +12,8 @@ All of it is SQL expressions; there is no shuffle and no state.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ ROUNDS = 8
 CYCLE, CYCLE_A, CYCLE_B = 146_097, 627, 233
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once: a lambda's body would compute it anew at each use."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _digest(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)
 
@@ -51,7 +58,7 @@ def _turned(half: Column, other: Column, tag: Column) -> Column:
         base = F.when(code.between(48, 57), 48).when(code.between(65, 90), 65).when(code.between(97, 122), 97)
         size = F.when(base == 48, 10).otherwise(26)
         move = F.conv(F.substring(_digest(tag, other, i.cast("string")), 1, 8), 16, 10).cast("long")
-        return F.when(base.isNull(), c).otherwise(F.chr(base + F.pmod(code - base + move, size)))
+        return let(F.struct(code.alias("c"), base.alias("b"), size.alias("n")), lambda v: F.when(v["b"].isNull(), c).otherwise(F.chr(v["b"] + F.pmod(v["c"] - v["b"] + move, v["n"]))))
 
     return F.when(F.length(half) == 0, half).otherwise(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), char)))
 
@@ -74,7 +81,7 @@ def permuted(value: Column, key: Column, kind: str) -> Column:
         return F.struct(x["l"].alias("l"), right.alias("r"), x["n"].alias("n"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda x, k: F.when(k % 2 == 1, two(x, k)).otherwise(other(x, k)))
-    return F.concat(done["l"], done["r"])
+    return let(done, lambda x: F.concat(x["l"], x["r"]))
 
 
 def product_permuted(n: Column, a: int, b: int, key: Column, kind: str) -> Column:
@@ -88,8 +95,7 @@ def product_permuted(n: Column, a: int, b: int, key: Column, kind: str) -> Colum
         even = F.struct(s["x"].alias("x"), y.cast("long").alias("y"))
         return F.when(k % 2 == 1, odd).otherwise(even)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return done["x"] * b + done["y"]
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), lambda s: s["x"] * b + s["y"])
 
 
 def _digits(value: Column) -> Column:
@@ -100,55 +106,61 @@ def _refilled(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order, by digits."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def step(s: Column, i: Column) -> Column:
-        c = shape.substr(i, F.lit(1))
-        is_digit = F.ascii(c).between(48, 57)
-        return F.struct(F.concat(s["out"], F.when(is_digit, digits.substr(s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + is_digit.cast("int")).alias("at"))
+    def within(d: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            c = shape.substr(i, F.lit(1))
+            is_digit = F.ascii(c).between(48, 57)
+            return F.struct(F.concat(s["out"], F.when(is_digit, d.substr(s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + is_digit.cast("int")).alias("at"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(shape)), start, step)["out"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(shape)), start, step)["out"]
+    return let(digits, within)
 
 
 def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     """Sum of the digits, each second one doubled from the right; the last one too if doubled_last."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = (F.ascii(digits.substr(n - i + 1, F.lit(1))) - 48) * F.when(i % 2 == (1 if doubled_last else 0), 2).otherwise(1)
-        return total + d - F.when(d > 9, 9).otherwise(0)
+    def within(d: Column) -> Column:
+        n = F.length(d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+        def add(total: Column, i: Column) -> Column:
+            x = (F.ascii(d.substr(n - i + 1, F.lit(1))) - 48) * F.when(i % 2 == (1 if doubled_last else 0), 2).otherwise(1)
+            return total + x - F.when(x > 9, 9).otherwise(0)
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+
+    return let(digits, within)
 
 
 def _card(value: Column, key: Column) -> Column:
-    d = _digits(value)
-    body = permuted(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    return _refilled(value, F.concat(body, F.pmod(10 - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10)).cast("string")))
+    check = lambda body: F.pmod(10 - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10)).cast("string")
+    moved = let(_digits(value), lambda d: let(permuted(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda body: F.concat(body, check(body))))
+    return _refilled(value, moved)
 
 
 def _date(value: Column, key: Column) -> Column:
-    n = F.unix_date(F.to_date(value))
-    block = F.floor(n / F.lit(CYCLE))
-    moved = (block * CYCLE + product_permuted(n - block * CYCLE, CYCLE_A, CYCLE_B, key, "date")).cast("int")
-    return F.date_format(F.date_from_unix_date(moved), "yyyy-MM-dd")
+    moved = let(F.unix_date(F.to_date(value)), lambda n: F.floor(n / F.lit(CYCLE)) * CYCLE + product_permuted(F.pmod(n, F.lit(CYCLE)).cast("long"), CYCLE_A, CYCLE_B, key, "date"))
+    return F.date_format(F.date_from_unix_date(moved.cast("int")), "yyyy-MM-dd")
 
 
 def _ip(value: Column, key: Column) -> Column:
     part = F.split(value, r"\.")
     of = lambda i: part[i].cast("long")
-    n = product_permuted(of(0) * 16777216 + of(1) * 65536 + of(2) * 256 + of(3), 65536, 65536, key, "ip")
-    octet = lambda d: F.pmod(F.floor(n / F.lit(d)), F.lit(256)).cast("string")
-    return F.concat_ws(".", octet(16777216), octet(65536), octet(256), octet(1))
+    octet = lambda n, d: F.pmod(F.floor(n / F.lit(d)), F.lit(256)).cast("string")
+    return let(product_permuted(of(0) * 16777216 + of(1) * 65536 + of(2) * 256 + of(3), 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", octet(n, 16777216), octet(n, 65536), octet(n, 256), octet(n, 1)))
 
 
 def _phone(value: Column, key: Column) -> Column:
     """The country code stays; the last ten digits keep an area and an exchange that start with 2 to 9, if they did."""
-    d = _digits(value)
-    ten = F.substring(d, F.length(d) - 9, F.lit(10))
-    area, exchange, line = (F.substring(ten, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-    m = product_permuted((area - 200) * 800 * 10_000 + (exchange - 200) * 10_000 + line, 80_000, 80_000, key, "phone")
-    plan = F.concat((F.floor(m / F.lit(8_000_000)) + 200).cast("string"), (F.pmod(F.floor(m / F.lit(10_000)), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(m, F.lit(10_000)).cast("string"), 4, "0"))
-    moved = F.when((area >= 200) & (exchange >= 200), plan).otherwise(permuted(ten, key, "phone"))
-    return _refilled(value, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), moved))
+
+    def moved(ten: Column) -> Column:
+        area, exchange, line = (F.substring(ten, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
+        m = product_permuted((area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line, 80_000, 80_000, key, "phone")
+        plan = let(m, lambda m: F.concat((F.floor(m / F.lit(8_000_000)) + 200).cast("string"), (F.pmod(F.floor(m / F.lit(10_000)), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(m, F.lit(10_000)).cast("string"), 4, "0")))
+        return F.when((area >= 200) & (exchange >= 200), plan).otherwise(permuted(ten, key, "phone"))
+
+    digits = let(_digits(value), lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), let(F.substring(d, F.length(d) - 9, F.lit(10)), moved)))
+    return _refilled(value, digits)
 
 
 def _email(value: Column, key: Column) -> Column:
@@ -186,8 +198,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", sp
     cut = docs.withColumn(found, F.when(has, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))).withColumn(gaps, F.when(has, F.split(t, ANY, -1)))
 
     def told(v: Column) -> Column:
-        kind = kind_of(v)
-        return F.struct(kind.alias("kind"), v.alias("value"), pseudonym(v, kind, k).alias("pseudonym"))
+        return let(kind_of(v), lambda kind: F.struct(kind.alias("kind"), v.alias("value"), pseudonym(v, kind, k).alias("pseudonym")))
 
     cut = cut.withColumn(found, F.transform(F.col(found), told))
     whole = F.concat(F.concat_ws("", F.zip_with(F.slice(F.col(gaps), 1, F.size(found)), F.col(found), lambda g, m: F.concat(g, m["pseudonym"]))), F.element_at(F.col(gaps), -1))
