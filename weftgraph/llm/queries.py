@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, mixing, pii, secrets
-from ._common import read
+from . import fingerprints, jaccard, licenses, mixing, pii, secrets, tokens, toxicity, warc
+from ._common import Scratch, read
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = Scratch(spark).path("archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), at)
+    return warc.described(warc.read_archive(spark, at))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.count_sections(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), F.array_join(F.col("sections").cast("array<string>"), ",").alias("section_tokens"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the tree source/lang/doc_id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")).drop("text")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +38,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, into="score")
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), spans="spans")
     of = lambda k: F.size(F.filter("spans", lambda m: m["kind"] == k)).alias(f"n_{k}")
@@ -62,9 +86,58 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 """
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_jaccard": op3_jaccard, "op6_fingerprints": op6_fingerprints, "op8_mixing": op8_mixing, "op10_pii": op10_pii}
+def _license_sql() -> str:
+    cell = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+    values = lambda rows: ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    rows, unknown = licenses.weights()
+    least, share = licenses.LEAST, licenses.SHARE
+    return rf"""
+WITH idf(token, idf) AS (VALUES {values(licenses.idf_rows())}),
+tmpl(template, licence, token, weight) AS (VALUES {values(rows)}),
+f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text FROM documents),
+g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(text, '[^ 	-]+')) AS total FROM f),
+seg AS (SELECT doc_id, path, total, unnest(range(len(p))) AS no, unnest(p) AS s FROM (SELECT *, string_split_regex(text, '
+|\. +') AS p FROM g)),
+hit AS (SELECT *, len(regexp_extract_all(s, '[^ 	-]+')) AS words FROM seg WHERE regexp_matches(s, '{licenses.NAMES}')),
+tok AS (SELECT doc_id, no, unnest(regexp_extract_all(translate(s, '{licenses.CAPITALS}', '{licenses.SMALLS}'), '{licenses.TOKEN}')) AS token FROM hit),
+tf AS (SELECT doc_id, no, t.token, count(*) * any_value(coalesce(idf, {unknown!r}::DOUBLE)) AS v FROM tok t LEFT JOIN idf USING (token) GROUP BY ALL),
+norm AS (SELECT doc_id, no, sqrt(sum(v * v)) AS norm FROM tf GROUP BY ALL),
+dot AS (SELECT doc_id, no, template, licence, sum(v * weight) AS dot FROM tf JOIN tmpl USING (token) GROUP BY ALL),
+sc AS (SELECT doc_id, no, licence, round(dot / norm, 4) AS cosine FROM dot JOIN norm USING (doc_id, no) WHERE round(dot / norm, 4) >= {least}),
+best AS (SELECT doc_id, no, min((-cosine, licence)) AS b FROM sc GROUP BY ALL),
+own AS (SELECT doc_id, min(b) AS b, sum(words) AS words FROM best JOIN hit USING (doc_id, no) GROUP BY doc_id),
+o AS (SELECT g.doc_id, g.path, g.dir, b[2] AS own, -b[1] AS cosine, own.doc_id IS NOT NULL AND (regexp_matches(path, '{licenses.FILE_NAME}') OR words >= {share} * total) AS is_file FROM g LEFT JOIN own USING (doc_id)),
+lic AS (SELECT dir AS above, min((-cosine, own))[2] AS given FROM o WHERE is_file GROUP BY dir),
+near AS (SELECT d.dir, arg_max(given, len(above)) AS given, arg_max(above, len(above)) AS above FROM (SELECT DISTINCT dir FROM o) d JOIN lic ON above = '' OR d.dir = above OR starts_with(d.dir, above || '/') GROUP BY d.dir)
+SELECT doc_id, path, coalesce(own, given) AS licence, cosine,
+  CASE WHEN is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS via,
+  CASE WHEN is_file OR own IS NOT NULL THEN NULL ELSE above END AS from_directory
+FROM o LEFT JOIN near USING (dir)
+"""
+
+
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_warc": op2_warc,
+    "op3_jaccard": op3_jaccard,
+    "op4_token_counts": op4_token_counts,
+    "op5_licenses": op5_licenses,
+    "op6_fingerprints": op6_fingerprints,
+    "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
+}
 
 SQL = {
+    "op5_licenses": _license_sql(),
+    "op2_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS sound FROM d
+""",
     "op3_jaccard": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
