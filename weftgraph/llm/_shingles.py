@@ -77,15 +77,19 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def words(column: pa.Array, a: int = 0, b: int | None = None, lower: bool = True) -> Words:
-    """The words of rows a .. b; lower folds the letters A-Z."""
+#: Every ASCII byte but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words(column: pa.Array, a: int = 0, b: int | None = None, lower: bool = True, blank: np.ndarray = _BLANK) -> Words:
+    """The words of rows a .. b, between bytes that are blank; lower folds the letters A-Z."""
     data, at = string_buffers(column)
     at = at[a : (len(column) if b is None else b) + 1]
     data, at = data[at[0] : at[-1]], at - at[0]
     if lower:
         data = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
     n = len(data)
-    ink = ~_BLANK[data]
+    ink = ~blank[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.ones(n, bool)
@@ -101,6 +105,19 @@ def words(column: pa.Array, a: int = 0, b: int | None = None, lower: bool = True
     return Words(data, at, start, end, h, np.searchsorted(start, at))
 
 
+def grams(w: Words, size: int) -> np.ndarray:
+    """The hash of the size words from each word on; 0 where a text has no more as many."""
+    out = np.zeros(len(w.hash), U)
+    n = len(w.hash) - size + 1
+    if n > 0:
+        for k in range(size):
+            out[:n] += w.hash[k : k + n] * U(pow(_STEP, k + 1, 1 << 64))
+        out[:n] = mixed(out[:n])
+        last = np.repeat(w.first[1:], np.diff(w.first))
+        out[np.arange(len(out)) + size > last] = 0
+    return out
+
+
 def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first): the distinct shingles of each text, ascending. Fewer than size words: the sequence as one."""
     n = np.diff(w.first)

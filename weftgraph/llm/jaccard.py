@@ -427,3 +427,16 @@ def _between(pairs: DataFrame, where: DataFrame) -> DataFrame:
     of = lambda c: where.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) but near duplicates: of each component the document of
+    least id stays, once if its row is repeated. Rows without an id or without words all stay."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.table(near_duplicates(docs, size).filter("doc_id is not null and n_shingles > 0"), "found")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("id_"))
+    left = docs.join(gone, docs["doc_id"] == F.col("id_"), "left_anti")
+    once = left.join(again, left["doc_id"] == F.col("id_"), "left_anti")
+    more = left.join(again, left["doc_id"] == F.col("id_"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(more)

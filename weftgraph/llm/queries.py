@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, licenses, mixing, pii, secrets, tokens, toxicity, warc
+from . import decontaminate, fingerprints, jaccard, licenses, mixing, pii, secrets, tokens, toxicity, warc
 from ._common import Scratch, read
 
 
@@ -34,6 +34,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edits(read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -95,10 +99,12 @@ def _license_sql() -> str:
 WITH idf(token, idf) AS (VALUES {values(licenses.idf_rows())}),
 tmpl(template, licence, token, weight) AS (VALUES {values(rows)}),
 f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text FROM documents),
-g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(text, '[^ 	-]+')) AS total FROM f),
+g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(text, '[^ 	-
+]+')) AS total FROM f),
 seg AS (SELECT doc_id, path, total, unnest(range(len(p))) AS no, unnest(p) AS s FROM (SELECT *, string_split_regex(text, '
 |\. +') AS p FROM g)),
-hit AS (SELECT *, len(regexp_extract_all(s, '[^ 	-]+')) AS words FROM seg WHERE regexp_matches(s, '{licenses.NAMES}')),
+hit AS (SELECT *, len(regexp_extract_all(s, '[^ 	-
+]+')) AS words FROM seg WHERE regexp_matches(s, '{licenses.NAMES}')),
 tok AS (SELECT doc_id, no, unnest(regexp_extract_all(translate(s, '{licenses.CAPITALS}', '{licenses.SMALLS}'), '{licenses.TOKEN}')) AS token FROM hit),
 tf AS (SELECT doc_id, no, t.token, count(*) * any_value(coalesce(idf, {unknown!r}::DOUBLE)) AS v FROM tok t LEFT JOIN idf USING (token) GROUP BY ALL),
 norm AS (SELECT doc_id, no, sqrt(sum(v * v)) AS norm FROM tf GROUP BY ALL),
@@ -123,6 +129,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_licenses": op5_licenses,
     "op6_fingerprints": op6_fingerprints,
+    "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
