@@ -179,19 +179,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     return found
 
 
+def _flags(shared, least: float):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = np.zeros(len(column), bool)
+            for a, b in S.blocks(column):
+                for t, *_ in shared.value.leaks(S.words(column, a, b, blank=S.PUNCTUATION), least):
+                    out[a + t] = True
+            yield pa.array(out)
+
+    return run
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs (text and any other columns) that hold no leak."""
     name = free_name(docs, "leaked")
     for index in indexes(docs, benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            for column in batches:
-                out = np.zeros(len(column), bool)
-                for a, b in S.blocks(column):
-                    for t, *_ in shared.value.leaks(S.words(column, a, b, blank=S.PUNCTUATION), least):
-                        out[a + t] = True
-                yield pa.array(out)
-
-        docs = docs.withColumn(name, F.arrow_udf(run, "boolean")(F.col("text"))).filter(~F.col(name)).drop(name)
+        docs = docs.withColumn(name, F.arrow_udf(_flags(shared, least), "boolean")(F.col("text"))).filter(~F.col(name)).drop(name)
     return docs
