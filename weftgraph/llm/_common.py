@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._tables import Scratch, partitions, shared_dir
+
+__all__ = ["Scratch", "free_name", "partitions", "read", "shared_dir", "word_count"]
+
 #: A word is a run of anything but these blanks, in every operator.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,55 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
-
-
-class Scratch:
-    """Tables in the shared folder that cut the lineage of a query.
-
-    A table survives the loss of any executor. `drop` frees one as soon as what was derived from it has been
-    written; the rest goes when the driver's Python ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-        self.n = 0
-        atexit.register(self._end)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        at = self.path(name)
-        df.write.option("compression", "zstd").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        out._scratch_path = at
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for x in tables:
-            self._delete(x._scratch_path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def _end(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM has gone first; the folder is the cluster's to clean
-            pass
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
