@@ -1 +1 @@
-
+"""Plans that build a graph step by step."""
