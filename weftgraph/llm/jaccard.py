@@ -45,6 +45,8 @@ U = np.uint64
 OFTEN, FREQUENT = 32, 500_000
 #: Buckets up to this size are compared in full; rows of a bucket handled at once; shuffled bytes for a task.
 SMALL, PIECE, TASK = 8, 4096, 24 << 20
+#: Documents of a bucket for each part into which the buckets of one leader are dealt.
+SALT = 64
 
 
 def _edge(band: np.ndarray) -> np.ndarray:
@@ -221,117 +223,154 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.to_batches(100_000)
 
 
-def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Which pairs of sketch rows (uint64 words) and sizes can still link."""
-    ok = 4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)
-    out = np.zeros(len(ok), bool)
-    if ok.any():
-        at = np.flatnonzero(ok)
-        for a in range(0, len(at), 50_000):
-            i = at[a : a + 50_000]
-            apart = np.bitwise_count(x[i if len(x) > 1 else 0] ^ y[i if len(y) > 1 else 0])
-            apart = apart.reshape(-1, apart.shape[-1]).sum(axis=1)
-            out[i] = 7 * apart.astype(np.int64) <= nx[i] + ny[i]
-    return out
-
-
-def _folded(sketches: list) -> np.ndarray:
-    """Sketches as rows of as many words as the shortest: a longer one is folded on itself."""
-    least = min(map(len, sketches))
-    out = np.empty((len(sketches), least // 8), U)
-    for i, s in enumerate(sketches):
-        x = np.frombuffer(s, U)
-        while len(x) * 8 > least:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out[i] = x
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, bool]]:
-    """Runs of rows with equal keys from sorted batches, in pieces; whether a piece continues the last run."""
-    held, going = None, False
-    for batch in batches:
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        k = np.stack([t[c].to_numpy() for c in keys])
-        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-        a = 0
-        for b in cuts:
-            yield t.slice(a, b - a), going
-            a, going = b, False
-        held = t.slice(a)
-        if held.num_rows > PIECE:
-            yield held, going
-            held, going = held.slice(held.num_rows - 1), True  # a row again, so that the run's key is kept
-    if held is not None and held.num_rows:
-        yield held, going
+class Sketches:
+    """The sketches and sizes of a table's rows; a sketch's length is a power of two words."""
+
+    def __init__(self, t: pa.Table):
+        column = t["sketch"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.start, self.words = at[:-1] // 8, np.diff(at) // 8
+        self.data = np.frombuffer(data, U, count=int(at[-1]) // 8)
+        self.n = t["n"].to_numpy()
+
+    def folded(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        """Rows whose sketches have so many words, folded on themselves until they have `to`."""
+        x = self.data[self.start[rows][:, None] + np.arange(words)]
+        while words > to:
+            words //= 2
+            x = x[:, :words] ^ x[:, words:]
+        return x
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows can still link, by size and by the bits that differ."""
+        ok = 4 * np.minimum(self.n[i], self.n[j]) >= 3 * np.maximum(self.n[i], self.n[j])
+        out, left = np.zeros(len(i), bool), np.flatnonzero(ok)
+        kind = self.words[i[left]] * 65536 + self.words[j[left]]
+        for k in np.unique(kind):
+            wi, wj = divmod(int(k), 65536)
+            rows = left[kind == k]
+            for a in range(0, len(rows), 20_000):
+                r = rows[a : a + 20_000]
+                to = min(wi, wj)
+                apart = np.bitwise_count(self.folded(i[r], wi, to) ^ self.folded(j[r], wj, to)).sum(axis=1, dtype=np.int64)
+                out[r] = 7 * apart <= self.n[i[r]] + self.n[j[r]]
+        return out
+
+
+class Pairs:
+    """Distinct pairs (a, b), a < b, gathered by a task."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            p = np.sort(np.stack([a, b]), axis=0)
+            self.parts.append(p[:, p[0] != p[1]])
+            self.size += p.shape[1]
+            if self.size > 500_000:
+                self.parts, self.size = [self.distinct()], 0
+
+    def distinct(self) -> np.ndarray:
+        p = np.concatenate(self.parts, axis=1)
+        order = np.lexsort(p[::-1])
+        p = p[:, order]
+        return p[:, np.concatenate([[True], (p[:, 1:] != p[:, :-1]).any(axis=0)])] if p.shape[1] else p
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            p = self.distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+
+
+def _runs(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys start, and the end."""
+    k = np.stack([t[c].to_numpy() for c in keys])
+    return np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b), a < b: all of a small bucket; in a large one each row and the first leader near it."""
-    found: list[np.ndarray] = []
-    size = 0
-    lead_doc, lead_n, lead_sketch = [], [], []
-    for t, going in _groups(batches, ["leader", "sig"]):
-        doc, n, sk = t["doc"].to_numpy(), t["n"].to_numpy(), t["sketch"].to_pylist()
-        if not going:
-            lead_doc, lead_n, lead_sketch = [], [], []
-        k = len(doc)
-        if k <= SMALL and not going:
-            x = _folded(sk)
-            i, j = np.triu_indices(k, 1)
-            ok = _near(x[i], x[j], n[i], n[j])
-            pairs = np.stack([doc[i][ok], doc[j][ok]])
-        else:
-            left, got = np.arange(k), []
-            for d, m, s in zip(lead_doc, lead_n, lead_sketch, strict=True):
-                left, ok = _apart(left, d, m, s, doc, n, sk)
-                got.append(ok)
-            while len(left):
-                d, m, s = doc[left[0]], n[left[0]], sk[left[0]]
-                lead_doc.append(d), lead_n.append(m), lead_sketch.append(s)
-                left, ok = _apart(left[1:], d, m, s, doc, n, sk)
-                got.append(ok)
-            pairs = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
-        if pairs.shape[1]:
-            found.append(np.sort(pairs, axis=0))
-            size += pairs.shape[1]
-        if size > 500_000:
-            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-            size = 0
-    if found:
-        p = np.unique(np.concatenate(found, axis=1), axis=1)
-        p = p[:, p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
-
-
-def _apart(left, d, m, s, doc, n, sk):
-    """Rows of left that aren't near the leader, and pairs of the leader with those that are."""
-    if not len(left):
-        return left, np.zeros((2, 0), np.int64)
-    x = _folded([s, *[sk[i] for i in left]])
-    near = _near(x[:1], x[1:], np.full(len(left), m), n[left]) if len(left) > 1 else _near(x[:1], x[1:], np.array([m]), n[left])
-    return left[~near], np.stack([np.full(int(near.sum()), d), doc[left[near]]])
+    """Candidate pairs from rows sorted by bucket: all of a small bucket; in a larger one, each row and the first
+    leader that it is near. A bucket longer than PIECE goes on from its leaders alone."""
+    found = Pairs()
+    held: pa.Table | None = None
+    led = 0
+
+    def large(x: Sketches, doc: np.ndarray, a: int, b: int, led: int) -> list[int]:
+        leaders, left = list(range(a, a + led)), np.arange(a + led, b)
+        at = 0
+        while len(left):
+            if at == len(leaders):
+                leaders.append(int(left[0]))
+                left = left[1:]
+            near = x.near(np.full(len(left), leaders[at]), left)
+            found.add(np.full(int(near.sum()), doc[leaders[at]]), doc[left[near]])
+            left, at = left[~near], at + 1
+        return leaders
+
+    def runs(t: pa.Table, cuts: np.ndarray, led: int) -> None:
+        x, doc, size = Sketches(t), t["doc"].to_numpy(), np.diff(cuts)
+        small = size <= SMALL
+        if led:
+            small[0] = False
+        for k in range(2, SMALL + 1):
+            at = cuts[:-1][small & (size == k)]
+            if len(at):
+                i, j = np.triu_indices(k, 1)
+                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                ok = x.near(i, j)
+                found.add(doc[i[ok]], doc[j[ok]])
+        for r in np.flatnonzero(~small):
+            large(x, doc, int(cuts[r]), int(cuts[r + 1]), led if r == 0 else 0)
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        cuts = _runs(t, ["leader", "sig"])
+        whole = cuts[:-1]
+        if len(whole) > 1:
+            runs(t, whole, led)
+            led = 0
+        held = t.slice(int(whole[-1])).combine_chunks()
+        if held.num_rows - led > PIECE:
+            leaders = large(Sketches(held), held["doc"].to_numpy(), 0, held.num_rows, led)
+            held, led = held.take(pa.array(leaders)).combine_chunks(), len(leaders)
+    if held is not None and held.num_rows:
+        runs(held, np.array([0, held.num_rows]), led)
+    yield from found.batches()
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of different components: each probe of a tile against the tile's targets."""
-    found: list[np.ndarray] = []
-    size = 0
-    for t, _ in _groups(batches, ["sig", "tile"]):
-        doc, n, c, probe = (t[k].to_numpy() for k in ("doc", "n", "component", "probe"))
-        x = _folded(t["sketch"].to_pylist())
-        target = np.flatnonzero(~probe)
-        for i in np.flatnonzero(probe):
-            at = target[(c[target] != c[i]) & (doc[target] != doc[i])]
-            if len(at):
-                ok = _near(x[i : i + 1], x[at], np.full(len(at), n[i]), n[at])
-                found.append(np.sort(np.stack([np.full(int(ok.sum()), doc[i]), doc[at[ok]]]), axis=0))
-                size += int(ok.sum())
-        if size > 500_000:
-            found, size = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
-    if found:
-        p = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+    found = Pairs()
+    held: pa.Table | None = None
+
+    def runs(t: pa.Table, cuts: np.ndarray) -> None:
+        x = Sketches(t)
+        doc, component, probe = (t[k].to_numpy(zero_copy_only=False) for k in ("doc", "component", "probe"))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            targets, probes = a + np.flatnonzero(~probe[a:b]), a + np.flatnonzero(probe[a:b])
+            step = max(1, 200_000 // max(1, len(targets)))
+            for p in range(0, len(probes), step):
+                i, j = np.repeat(probes[p : p + step], len(targets)), np.tile(targets, len(probes[p : p + step]))
+                apart = component[i] != component[j]
+                i, j = i[apart], j[apart]
+                ok = x.near(i, j)
+                found.add(doc[i[ok]], doc[j[ok]])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        cuts = _runs(t, ["sig", "tile"])
+        if len(cuts) > 2:
+            runs(t, cuts[:-1])
+        held = t.slice(int(cuts[-2])).combine_chunks()
+    if held is not None and held.num_rows:
+        runs(held, np.array([0, held.num_rows]))
+    yield from found.batches()
 
 
 def _sets(size: int):
@@ -392,7 +431,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     wide = rows.join(reps, "doc")
     bytes_ = rows.count() * 150
     many = max(partitions(spark), bytes_ // TASK + 1)
-    dealt = wide.repartition(many, F.col("leader"), F.pmod(F.col("sig"), 1 + F.floor(F.col("k") / 1024))).sortWithinPartitions("leader", "sig", "doc")
+    dealt = wide.repartition(many, F.col("leader"), F.pmod(F.col("sig"), 1 + F.floor(F.col("k") / SALT))).sortWithinPartitions("leader", "sig", "doc")
     pairs = scratch.table(dealt.select("leader", "sig", "doc", "n", "sketch").mapInArrow(_lead, "a long, b long").distinct(), "pairs")
 
     # a forest first: one pair a document at most, which joins most near copies
