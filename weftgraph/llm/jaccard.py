@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .._ship import ship
 from . import _shingles as S
 from ._common import Scratch, partitions
-from ._components import components
+from ..operators.components import components
 
 U = np.uint64
 #: A signature of more documents than this counts as frequent; at most so many are kept apart (8 bytes each).
