@@ -99,7 +99,9 @@ def _typed(rows: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
         return rows.select(key), []
     cast = {"bool": "boolean", "i32": "int", "f64": "double"}
     wide = cells.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n, _ in names])
-    return rows.select(key).join(wide, key, "left").select(key, *[F.col(f"`{n}`").try_cast(cast.get(t, "string")).alias(n) for n, t in names]), [n for n, _ in names]
+    taken = {"idx", "id", "e", "src", "dst", "w", "pair", "directed", "file", "seq"}
+    out = [T.unique_name(n, taken) for n, _ in names]
+    return rows.select(key).join(wide, key, "left").select(key, *[F.col(f"`{n}`").try_cast(cast.get(t, "string")).alias(o) for (n, t), o in zip(names, out, strict=True)]), out
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, on_mixed: str = "expand", duplicates: str = "keep", **options) -> Import:

@@ -770,7 +770,7 @@ def parse_neo4j(data: bytes) -> Elements:
             up = typ.upper()
             if up == "ID":
                 id_ = (cell, space)
-                if name:
+                if name and name != "id":
                     a[name] = cell
             elif up in ("START_ID", "END_ID"):
                 ends[up] = (cell, space)

@@ -204,11 +204,12 @@ def _graphml(g, kinds):
         decl += '<key id="w" for="edge" attr.name="weight" attr.type="double"/>'
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{decl}<graph edgedefault="{"directed" if g.directed else "undirected"}">'
     name = lambda v: T.mangle_nmtoken(str(v))
+    directed = g.directed
     node = lambda r: f'<node id="{name(r["id"])}">{_xml_attrs(keys["n"], json.loads(r["attrs"]), "data")}</node>'
 
     def edge(r):
         w = f'<data key="w">{T.f32_text(_w(r))}</data>' if _w(r) is not None else ""
-        own = f' directed="{"false" if r["undirected"] else "true"}"' if r["undirected"] == g.directed else ""
+        own = f' directed="{"false" if r["undirected"] else "true"}"' if r["undirected"] == directed else ""
         return f'<edge source="{name(r["source"])}" target="{name(r["target"])}"{own}>{w}{_xml_attrs(keys["e"], json.loads(r["attrs"]), "data")}</edge>'
 
     return head, node, None, edge, "</graph></graphml>"
