@@ -107,8 +107,8 @@ def classified(files: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def directory(path: Column) -> Column:
-    """All before the last slash; the root is empty."""
-    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*\z", "")).otherwise("")
+    """All before the last slash; the root is empty. Null for a null path."""
+    return F.when(path.isNull(), None).when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*\z", "")).otherwise("")
 
 
 def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFrame:
@@ -126,7 +126,7 @@ def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFr
     told = told.join(own, F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_")), "left").withColumn("file_", F.coalesce(F.col("own_").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("words_") >= share * F.col("total_"))), F.lit(False)))
     # directories, and the nearest licensed one at or above each
     narrow = files.filter(F.col("text").rlike(NAMES)).select("path", F.xxhash64("text").alias("digest_"), F.regexp_count("text", F.lit(WORD)).alias("total_"))
-    marked = own.join(narrow, F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_"))).filter(F.col("path").rlike(FILE_NAME) | (F.col("words_") >= share * F.col("total_")))
+    marked = own.join(narrow, F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_"))).filter("path is not null").filter(F.col("path").rlike(FILE_NAME) | (F.col("words_") >= share * F.col("total_")))
     licensed = marked.groupBy(directory(F.col("path")).alias("above")).agg(F.min(F.struct(-F.col("cosine_"), "own_")).alias("b")).select("above", F.col("b.own_").alias("given_"))
     parts = F.split("dir_", "/")
     above = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("above")
