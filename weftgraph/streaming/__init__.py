@@ -1 +1 @@
-
+"""Graphs from streams of events."""
