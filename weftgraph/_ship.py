@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch where the session leaves Spark's default of 10,000: rows here are whole documents.
+BATCH = "2000"
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the workers of this application, once."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).parent

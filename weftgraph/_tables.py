@@ -42,6 +42,17 @@ class Scratch:
         for x in tables:
             self._delete(x._scratch_path)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Drop all other tables, and have the driver's JVM let go of shuffles that no plan refers to any more."""
+        kept = {x._scratch_path.rsplit("/", 1)[1] for x in tables}
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
