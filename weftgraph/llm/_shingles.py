@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BLANK = np.zeros(256, bool)
