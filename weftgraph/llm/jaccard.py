@@ -424,9 +424,11 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     shared = spark.sparkContext.broadcast(often)
     signed = docs.filter("doc_id is not null").mapInArrow(_sign(size, shared), "key long, sig long, doc long, twin boolean")
     rows = scratch.table(signed.repartition(parts, "key").mapInArrow(_shared, "sig long, doc long"), "shared")
+    scratch.keep_only(told, classes, rows)
     rows = rows.join(reps.select("doc").distinct(), "doc", "left_semi")
     by = rows.groupBy("sig").agg(F.min("doc").alias("leader"), F.count("*").alias("k")).filter("k > 1")
     rows = scratch.table(rows.join(by, "sig"), "buckets")
+    scratch.keep_only(told, classes, rows)
 
     wide = rows.join(reps, "doc")
     bytes_ = rows.count() * 150
@@ -458,7 +460,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         if more.limit(1).count():
             where = scratch.table(components(links.unionByName(more), scratch), "components")
     out = classes.join(where.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = scratch.table(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")), "result")
+    scratch.keep_only(out)
+    return out
 
 
 def _between(pairs: DataFrame, where: DataFrame) -> DataFrame:
@@ -471,11 +475,12 @@ def _between(pairs: DataFrame, where: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) but near duplicates: of each component the document of
     least id stays, once if its row is repeated. Rows without an id or without words all stay."""
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.table(near_duplicates(docs, size).filter("doc_id is not null and n_shingles > 0"), "found")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("id_"))
-    left = docs.join(gone, docs["doc_id"] == F.col("id_"), "left_anti")
+    found = near_duplicates(docs, size).filter("doc_id is not null and n_shingles > 0")
+    told = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1").select(F.col("doc_id").alias("id_"), "gone")
+    left = docs.join(told.filter("gone"), docs["doc_id"] == F.col("id_"), "left_anti")
+    again = told.filter("not gone").select("id_")
+    if not again.limit(1).count():
+        return left
     once = left.join(again, left["doc_id"] == F.col("id_"), "left_anti")
     more = left.join(again, left["doc_id"] == F.col("id_"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(more)
