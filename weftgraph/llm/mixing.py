@@ -73,6 +73,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, repeats: int = 2, weights: tuple =
     entry = queued.filter("size > 0").select("rank", "row_key", "size", "at", "target", "source_size", turns.alias("turn"))
     entry = entry.select("rank", "row_key", "size", "turn", finish(F.col("turn")).alias("finish"))
     budget = float(targets.agg(F.sum("source_size")).first()[0] or 0) * ratio
+    scratch.keep_only(queued)
     low, width, left = 0.0, 1.0 / BUCKETS, budget
     for _ in range(2):
         bin_ = F.least(F.lit(BUCKETS * 2), F.floor((F.col("finish") - F.lit(low)) / F.lit(width))).cast("int")
@@ -108,12 +109,14 @@ def finish(turn: Column) -> Column:
 def mix_documents(docs: DataFrame, ratio: float = 1.5, repeats: int = 2, weights: tuple = WEIGHTS) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it (0 to repeats times), with its turn.
 
-    Rows alike in doc_id, text and source are numbered, so that each meets one result of `mix`.
+    Texts are shuffled once, to meet the result of `mix` by row_key and source. Rows alike in doc_id, text and source
+    share the copies of all of them evenly, the remainder going to any; they meet in one task, which sorts them.
     """
-    n, key, src = (free_name(docs, x) for x in ("mix_n", "mix_key", "mix_source"))
+    key, src, many, rows, n = (free_name(docs, x) for x in ("mix_key", "mix_source", "mix_copies", "mix_rows", "mix_n"))
     turn = free_name(docs, "mix_turn")
-    alike = lambda k, s: F.row_number().over(Window.partitionBy(k, s).orderBy(F.lit(1)))
-    plan = mix(docs, ratio, repeats, weights).select(F.col("row_key").alias(key), F.col("source").alias(src), "copies").withColumn(n, alike(key, src)).select(key, src, n, F.col("copies").alias("copies_"))
-    own = docs.withColumn("key_", row_key(F.col("doc_id"), F.col("text"))).withColumn("n_", alike("key_", "source"))
-    hit = own.join(plan, (F.col("key_") == F.col(key)) & F.col("source").eqNullSafe(F.col(src)) & (F.col("n_") == F.col(n)))
-    return hit.filter("copies_ > 0").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns, turn)
+    plan = mix(docs, ratio, repeats, weights).groupBy(F.col("row_key").alias("k_"), F.col("source").alias("s_")).agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_")).filter("copies_ > 0")
+    own = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).withColumn(src, F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    plan = plan.select(F.col("k_").alias(key), F.coalesce(F.concat(F.lit("="), "s_"), F.lit("")).alias(src), F.col("copies_").alias(many), F.col("rows_").alias(rows))
+    hit = own.join(plan, [key, src]).withColumn(n, F.row_number().over(Window.partitionBy(key, src).orderBy(F.lit(1))))
+    share = F.floor(F.col(many) / F.col(rows)) + (F.col(n) <= F.col(many) % F.col(rows)).cast("int")
+    return hit.withColumn(many, share).filter(F.col(many) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns, turn)
