@@ -206,7 +206,7 @@ def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     filler = " ".join(f"w{i}" for i in range(50)) + ". "
     rows = [("a/LICENSE", mit), ("a/b/x", filler), ("a/b/y", filler + gpl), ("c/z", filler), ("top", None), (None, mit), ("a/b/d/LICENSE", gpl), ("a/b/d/e/f", "f"), ("a/LICENSE", mit), ("a/w", "licensed to nobody in any words known")]
-    files = spark.createDataFrame([(*r, 1) for r in rows], "path string, text string, cosine_extra int")
+    files = spark.createDataFrame([(*r, 1) for r in rows], "path string, text string, dir_ int")
     got = Counter((r["path"], r["licence"], r["via"], r["from_directory"]) for r in licenses.scan(files).collect())
     assert got == Counter([("a/LICENSE", "MIT", "file", None), ("a/LICENSE", "MIT", "file", None), ("a/b/x", "MIT", "inherited", "a"), ("a/b/y", "GPL-3.0", "header", None), ("c/z", None, "none", None), ("top", None, "none", None), (None, "MIT", "header", None), ("a/b/d/LICENSE", "GPL-3.0", "file", None), ("a/b/d/e/f", "GPL-3.0", "inherited", "a/b/d"), ("a/w", "MIT", "inherited", "a")])
     assert licenses.scan(files.limit(0)).count() == 0

@@ -112,13 +112,16 @@ def directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFrame:
-    """files (path, text and others) with licence, cosine, via and from_directory.
+    """files (path, text and others) with licence, cosine, via and from_directory; input columns of these names give
+    way.
 
     via: `file` for a licence file, `header` for a licence of its own, `inherited`, or `none`. from_directory: the
     directory of the licence file a licence is inherited from. A null text has no licence of its own; a null path
     is in no directory. Rows alike in path and text have like results. Of several licence files of a directory,
     the one of the highest cosine counts, then the first licence by name.
     """
+    given = [c for c in files.columns if c.lower() not in ("licence", "cosine", "via", "from_directory")]
+    files = files.select("path", "text", F.struct(*[F.col(f"`{c}`") for c in given]).alias("row_"))
     own = classified(files, least).select(F.col("path").alias("p_"), F.col("digest").alias("d_"), F.col("licence").alias("own_"), F.col("cosine").alias("cosine_"), F.col("words").alias("words_"))
     is_some = F.coalesce(F.col("text").rlike(NAMES), F.lit(False))
     total = F.when(is_some, F.regexp_count("text", F.lit(WORD))).otherwise(0)
@@ -134,4 +137,4 @@ def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFr
     nearest = dirs.join(licensed, "above").groupBy("dir_").agg(F.max(F.struct(F.length("above").alias("n"), "above", "given_")).alias("g")).select(F.col("dir_").alias("n_"), F.col("g.above").alias("above_"), F.col("g.given_").alias("given_"))
     told = told.join(nearest, F.col("dir_") == F.col("n_"), "left")
     via = F.when(F.col("file_"), "file").when(F.col("own_").isNotNull(), "header").when(F.col("given_").isNotNull(), "inherited").otherwise("none")
-    return told.select(*[files[c] for c in files.columns], F.coalesce("own_", "given_").alias("licence"), F.col("cosine_").alias("cosine"), via.alias("via"), F.when(via == "inherited", F.col("above_")).alias("from_directory"))
+    return told.select("row_.*", F.coalesce("own_", "given_").alias("licence"), F.col("cosine_").alias("cosine"), via.alias("via"), F.when(via == "inherited", F.col("above_")).alias("from_directory"))
