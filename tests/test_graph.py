@@ -376,3 +376,11 @@ def test_entry(spark):
     assert entry(spark).count() > 0
     assert set(oracle_sql()) <= set(listed())
     assert json.dumps(sorted(listed()))
+
+
+def test_metadata_patches():
+    from weftgraph.graph import resolve_meta
+
+    assert resolve_meta({"name": "a", "extra": {"x": 1}}, None, {"name": "b", "own": 2}, {"name": None}) == {"extra": {"x": 1, "own": 2}}
+    with pytest.raises(GraphError):
+        resolve_meta({"name": 1})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,12 +79,25 @@ def numbered(df: DataFrame, order: list, name: str, scratch: Scratch, start: int
     at = scratch.path(name)
     df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).write.parquet(at)
     back = df.sparkSession.read.schema(df.schema).parquet(at).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    counts = sorted((r["__file"], r["n"]) for r in back.groupBy("__file").agg(F.count("*").alias("n")).collect())
-    offsets, total = {}, start
-    for file, n in counts:
-        offsets[file] = total
-        total += n
-    if not offsets:
+    part = F.regexp_extract("__file", "part-([0-9]+)", 1).cast("int")
+    counts = {r["part"]: r["n"] for r in back.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return df.withColumn(name, F.lit(0).cast("long")).limit(0)
-    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return back.select(*df.columns, (shift[F.col("__file")] + F.col("__row")).cast("long").alias(name))
+    offsets, total = [], start
+    for i in range(max(counts) + 1):
+        offsets.append(total)
+        total += counts.get(i, 0)
+    return back.select(*df.columns, (F.lit(offsets).cast("array<long>")[part] + F.col("__row")).cast("long").alias(name))
+
+
+def running_sum(values: DataFrame, key: str, value: str, name: str, cells: int = 4096) -> DataFrame:
+    """values with the sum of `value` over the rows up to each, in the order of a LONG key that is 0 .. n - 1.
+
+    Sums are taken within cells of the key, and shifted by a table of one row a cell.
+    """
+    size = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(values.count()) / cells))
+    cell = values.withColumn("__cell", F.floor(F.col(key) / size))
+    sums = cell.groupBy("__cell").agg(F.sum(value).alias("__s"))
+    shift = sums.select("__cell", F.coalesce(F.sum("__s").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    run = F.sum(value).over(Window.partitionBy("__cell").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return cell.join(shift, "__cell").withColumn(name, run + F.col("__shift")).drop("__cell", "__shift")

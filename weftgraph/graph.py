@@ -79,3 +79,26 @@ def by_role(df: DataFrame, role: str) -> str | None:
 
 def empty_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField("e", T.LongType()), T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("w", T.FloatType())]))
+
+
+#: Metadata fields that a graph can carry, with the type of each.
+META = {"name": str, "description": str, "creator": str, "created": (int, float, str), "modified": (int, float, str), "format": str, "version": str, "source": str, "license": str, "keywords": list, "weight_name": str, "time_format": str, "mode": str, "extra": dict}
+
+
+def resolve_meta(*patches: dict | None) -> dict:
+    """Metadata patches merged in order: a later field counts, None takes a field away, `extra` merges by key, and
+    fields that META doesn't list go into `extra`. A field of a wrong type is E_COLUMN_TYPE."""
+    out: dict = {}
+    for patch in patches:
+        for k, v in (patch or {}).items():
+            if k not in META:
+                out.setdefault("extra", {})[k] = v
+            elif v is None:
+                out.pop(k, None)
+            elif not isinstance(v, META[k]):
+                raise GraphError("E_COLUMN_TYPE", f"{k} is {type(v).__name__}")
+            elif k == "extra":
+                out["extra"] = out.get("extra", {}) | v
+            else:
+                out[k] = v
+    return out

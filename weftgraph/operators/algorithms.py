@@ -7,10 +7,10 @@ count) reach the driver. Arcs of the graph are written once, partitioned by the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .._tables import Scratch
+from .._tables import Scratch, running_sum
 from ..errors import GraphError
 from ..graph import Graph, weight
 from . import views
@@ -464,14 +464,9 @@ def reduce_vector(values: DataFrame, how: str = "sum") -> DataFrame:
     return by.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("value"))  # a row a component
 
 
-def scan(values: DataFrame, key: str, value: str, name: str, buckets: int = 4096) -> DataFrame:
+def scan(values: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """values with the sum of `value` over the rows up to each in the order of a LONG key that is 0 .. n - 1."""
-    size = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(values.count()) / buckets))
-    cell = values.withColumn("__cell", F.floor(F.col(key) / size))
-    sums = cell.groupBy("__cell").agg(F.sum(value).alias("__s"))
-    shift = sums.select("__cell", F.coalesce(F.sum("__s").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))  # a row a cell
-    run = F.sum(value).over(Window.partitionBy("__cell").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return cell.join(shift, "__cell").withColumn(name, run + F.col("__shift")).drop("__cell", "__shift")
+    return running_sum(values, key, value, name)
 
 
 def histogram(values: DataFrame, column: str) -> DataFrame:

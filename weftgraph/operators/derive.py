@@ -198,7 +198,7 @@ def contract(g: Graph, partition: DataFrame, weights: str = "sum", self_loops: s
         raise GraphError("E_PARTITION", "a node has no label")
     k, low, high = partition.agg(F.count_distinct("label"), F.min("label"), F.max("label")).first()
     dense = k == 0 or (isinstance(low, int) and low == 0 and high == k - 1)
-    blocks = (partition.select("idx", F.col("label").cast("long").alias("label")) if dense else renumber_partition(partition)).persist()
+    blocks = Scratch(g.spark).table(partition.select("idx", F.col("label").cast("long").alias("label")) if dense else renumber_partition(partition), "blocks")
     sizes = blocks.groupBy(F.col("label").alias("idx")).agg(F.count("*").alias("size"))
     named = node_reducers or {}
     if named:

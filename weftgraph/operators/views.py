@@ -6,10 +6,10 @@ edge, one for an undirected loop. `arc` numbers them by (src, dst, e).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._tables import Scratch, numbered
+from .._tables import Scratch, numbered, running_sum
 from ..errors import GraphError
 from ..graph import Graph, weight
 
@@ -30,13 +30,7 @@ def arcs(g: Graph) -> DataFrame:
 
 def row_ptr(g: Graph) -> DataFrame:
     """(idx, first, past): each node's half-open range of arcs."""
-    by = arcs(g).groupBy("src").agg(F.min("arc").alias("first"), (F.max("arc") + 1).alias("past"))
-    counted = out_degree(g)
-    # an empty row starts where the next one does; only nodes without arcs need the running sum
-    full = counted.join(by, counted["idx"] == by["src"], "left")
-    filled = F.last("past", ignorenulls=True).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    done = full.withColumn("__past", F.coalesce(filled, F.lit(0)))
-    return done.select("idx", F.coalesce("first", "__past").alias("first"), F.coalesce("past", "__past").alias("past"))
+    return running_sum(out_degree(g), "idx", "out_degree", "past").select("idx", (F.col("past") - F.col("out_degree")).alias("first"), "past")
 
 
 def coo(g: Graph) -> DataFrame:
