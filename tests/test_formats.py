@@ -89,18 +89,28 @@ def sample(spark):
     return Graph(nodes, edges, True, True)
 
 
-@pytest.mark.parametrize("format", ["csv", "json", "gexf", "graphml", "gml", "dot", "neo4j"])
+@pytest.mark.parametrize("format", ["csv", "json", "gexf", "graphml", "gml", "dot", "neo4j", *sinks.DIALECTS])
 def test_round_trip(spark, tmp_path, sample, format):
     (tmp_path / "x").write_text(sinks.join_text(sample, format))
-    g = formats.read(spark, str(tmp_path / "x"), format).graph
+    g = formats.read(spark, str(tmp_path / "x"), format.split("-")[0]).graph
+    assert g.directed
     got = [(r["src"], r["dst"], r["w"], r["n"]) for r in g.edges.orderBy("e").collect()]
     assert got == [(r["src"], r["dst"], r["w"], r["n"]) for r in sample.edges.orderBy("e").collect()]
     if format != "csv":
         assert g.node_count() == 3 and [r["score"] for r in g.nodes.orderBy("idx").collect()] == [1.5, None, 2.0]
-    if format in ("csv", "json", "gexf", "dot", "neo4j"):
+    if format not in ("graphml", "gml"):
         assert [r["id"] for r in g.nodes.orderBy("idx").limit(2).collect()] == ['a "q"', "b, c"]
 
 
+def test_attributes_of_any_name():
+    names = ("id", "id_", "s", "t", "w", "d", "k", "a", "label", "parent", "kind", "type")
+    doc = {"nodes": [{"key": "a", "attributes": dict.fromkeys(names, "x")}], "edges": [{"source": "a", "target": "a", "attributes": dict.fromkeys(names, "x")}]}
+    n, e = (next(x for x in parsers.parse_json(json.dumps(doc).encode()) if x["k"] == k) for k in "ne")
+    assert set(n["a"]) == set(e["a"]) == set(names)
+    jgf = {"graph": {"nodes": {"a": {"metadata": {"label": "x"}}}, "edges": []}}
+    assert [x["a"] for x in parsers.parse_json(json.dumps(jgf).encode()) if x["k"] == "n"] == [{"label": "x"}]
+
+
 def test_loss_checks(spark, sample):
     codes = lambda f: {c for c, _ in sinks.check(sample, f)}
     assert codes("csv") == {"node-attributes", "isolated-nodes"} and codes("graphml") == {"ids"} and codes("pajek") == {"attributes", "ids"} and codes("gexf") == set()

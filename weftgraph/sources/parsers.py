@@ -33,11 +33,11 @@ def issue(code: str, at, why: str) -> dict:
     return {"k": "i", "code": code, "at": str(at), "why": why}
 
 
-def node(id_, **a) -> dict:
+def node(id_, /, **a) -> dict:
     return {"k": "n", "id": id_, "a": {k: v for k, v in a.items() if v is not None}}
 
 
-def edge(s, t, w=None, d=None, **a) -> dict:
+def edge(s, t, w=None, d=None, /, **a) -> dict:
     return {"k": "e", "s": s, "t": t, "w": w, "d": d, "a": {k: v for k, v in a.items() if v is not None}}
 
 
@@ -159,20 +159,17 @@ def parse_json(data: bytes, hyperedges: str = "star") -> Elements:
     yield from {"node-link": _node_link, "d3": _node_link, "jgf": _jgf, "cytoscape": _cytoscape, "graphology": _graphology, "vis": _vis}[json_dialect(doc)](doc, hyperedges)
 
 
-def _link(x: dict, at, s, t, drop=(), **more) -> Elements:
+def _link(x: dict, at, s, t, drop=(), d: bool | None = None) -> Elements:
     if s is None or t is None:
         yield issue("blank-endpoint", at, "no source or target")
         return
     w, bad = _weight(x.get("weight"), at)
-    if bad:
-        yield bad
-        return
-    yield edge(s, t, w, more.pop("d", None), **{k: v for k, v in x.items() if k not in ("weight", *drop)}, **more)
+    yield bad or edge(s, t, w, d, **{k: v for k, v in x.items() if k not in ("weight", *drop)})
 
 
 def _node_link(doc, _) -> Elements:
     graph = doc.get("graph") if isinstance(doc.get("graph"), dict) else {}
-    directed = bool(doc.get("directed", json_dialect(doc) == "d3" and False))
+    directed = bool(doc.get("directed", False))
     yield {"k": "g", "directed": directed, "a": graph}
     nodes = doc.get("nodes") or []
     ids = []
@@ -225,7 +222,7 @@ def _cytoscape(doc, _) -> Elements:
         d = x.get("data") or {}
         if k == "nodes":
             p = x.get("position")
-            yield node(d.get("id"), **{c: v for c, v in d.items() if c != "id"}, **({"position": [p.get("x", 0.0), p.get("y", 0.0), 0.0]} if p else {}))
+            yield node(d.get("id"), **{**{c: v for c, v in d.items() if c != "id"}, **({"position": [p.get("x", 0.0), p.get("y", 0.0), 0.0]} if p else {})})
         else:
             yield from _link(d, i, d.get("source"), d.get("target"), ("source", "target"))
 
@@ -235,7 +232,7 @@ def _jgf(doc, hyperedges) -> Elements:
     yield {"k": "g", "directed": g.get("directed", True), "a": g.get("metadata") or {}}
     nodes = g.get("nodes") or {}
     for id_, n in nodes.items() if isinstance(nodes, dict) else ((n.get("id"), n) for n in nodes):
-        yield node(id_, label=n.get("label"), **(n.get("metadata") or {}))
+        yield node(id_, **{"label": n.get("label"), **(n.get("metadata") or {})})
     for i, x in enumerate(g.get("edges") or []):
         a = {**(x.get("metadata") or {}), **{k: x[k] for k in ("id", "label", "relation") if k in x}}
         yield from _link(a, i, x.get("source"), x.get("target"), d=x.get("directed"))
@@ -253,7 +250,7 @@ def hyperedge(members: list, how: str, at, hub, a: dict) -> Elements:
     elif how == "clique":
         yield from (edge(members[i], members[j], None, False, **a) for i in range(len(members)) for j in range(i + 1, len(members)))
     elif hub is not None:
-        yield node(hub, kind="hyperedge", **a)
+        yield node(hub, **{"kind": "hyperedge", **a})
         yield from (edge(hub, m, None, False) for m in members)
     else:
         yield from (edge(members[0], m, None, False, **a) for m in members[1:])
@@ -351,7 +348,7 @@ def parse_gexf(data: bytes) -> Elements:
             a, bad = values(x, "node")
             p = x.get("pid") or parent
             yield from bad
-            yield node(x.get("id"), **a, **({"parent": p} if p else {})) if x.get("id") else issue("blank-id", "node", "no id")
+            yield node(x.get("id"), **{**a, **({"parent": p} if p else {})}) if x.get("id") else issue("blank-id", "node", "no id")
             for inner in (y for y in x if _tag(y) == "nodes"):
                 yield from walk(inner, x.get("id"))
 
@@ -365,7 +362,7 @@ def parse_gexf(data: bytes) -> Elements:
             continue
         yield from bad
         kind = x.get("type")
-        both = edge(x.get("source"), x.get("target"), w, None if kind is None else kind != "undirected", id=x.get("id"), **a)
+        both = edge(x.get("source"), x.get("target"), w, None if kind is None else kind != "undirected", **{"id": x.get("id"), **a})
         yield both
         if kind == "mutual":
             yield {**both, "s": both["t"], "t": both["s"]}
@@ -409,7 +406,7 @@ def parse_graphml(data: bytes, hyperedges: str = "star") -> Elements:
             if t == "node":
                 a, bad = values(x, "node")
                 yield from bad
-                yield node(x.get("id"), **a, **({"parent": parent} if parent else {})) if x.get("id") else issue("blank-id", "node", "no id")
+                yield node(x.get("id"), **{**a, **({"parent": parent} if parent else {})}) if x.get("id") else issue("blank-id", "node", "no id")
                 for inner in (y for y in x if _tag(y) == "graph"):
                     yield from walk(inner, x.get("id"))
             elif t in ("edge", "hyperedge"):
@@ -584,7 +581,7 @@ class _Dot:
 
     def add(self, id_, defaults, parent):
         if id_ not in self.seen:
-            self.seen[id_] = node(id_, **defaults, **({"parent": parent} if parent else {}))
+            self.seen[id_] = node(id_, **{**defaults, **({"parent": parent} if parent else {})})
             self.out.append(self.seen[id_])
         elif parent and "parent" not in self.seen[id_]["a"]:
             self.seen[id_]["a"]["parent"] = parent
@@ -731,7 +728,7 @@ def parse_pajek(data: bytes) -> Elements:
             spells = next((T.parse_intervals(x) for x in c[2:] if x.startswith("[")), None)
             rest = c[3:]
             a = {rest[k]: rest[k + 1] for k in range(0, len(rest) - 1, 2) if re.fullmatch("[A-Za-z_]+", rest[k])}
-            yield why or edge(int(c[0]), int(c[1]), w, section == "*arcs", **a, **({"spells": [list(s) for s in spells]} if spells else {}))
+            yield why or edge(int(c[0]), int(c[1]), w, section == "*arcs", **{**a, **({"spells": [list(s) for s in spells]} if spells else {})})
         elif section in ("*arcslist", "*edgeslist"):
             for x in c[1:]:
                 yield edge(int(c[0]), int(x), None, section == "*arcslist") if ok(c[0]) and ok(x) else issue("bad-row", at, x)
@@ -790,7 +787,7 @@ def parse_neo4j(data: bytes) -> Elements:
                 yield issue("blank-endpoint", at, "no :START_ID or :END_ID")
                 continue
             w, why = _weight(a.pop("weight", None), at)
-            yield why or edge(ends["START_ID"][0], ends["END_ID"][0], w, True, type=kind, **a)
+            yield why or edge(ends["START_ID"][0], ends["END_ID"][0], w, True, **{"type": kind, **a})
         elif not id_ or not id_[0]:
             yield issue("blank-id", at, "no :ID")
         elif id_ in seen:
@@ -799,7 +796,7 @@ def parse_neo4j(data: bytes) -> Elements:
             if spaces.setdefault(id_[0], id_[1]) != id_[1]:
                 yield issue("id-collision", at, id_[0])
             seen.add(id_)
-            yield node(id_[0], labels=labels, idSpace=id_[1], **a)
+            yield node(id_[0], **{"labels": labels, "idSpace": id_[1], **a})
 
 
 PARSERS = {"csv": parse_csv, "json": parse_json, "gexf": parse_gexf, "graphml": parse_graphml, "gml": parse_gml, "dot": parse_dot, "pajek": parse_pajek, "neo4j": parse_neo4j}

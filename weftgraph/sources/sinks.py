@@ -33,8 +33,9 @@ CAPABILITIES = {
 
 def check(g: Graph, format: str) -> list[tuple[str, str]]:
     """(code, detail) of what a format would lose of a graph, from its schema and a few counts."""
-    if format not in CAPABILITIES:
+    if format not in CAPABILITIES and format not in DIALECTS:
         raise GraphError("E_UNSUPPORTED", format)
+    format = "json" if format in DIALECTS else format
     can, notes = CAPABILITIES[format], []
     attributes = g.node_attributes()
     if not can["nodes"]:
@@ -122,12 +123,12 @@ XML_TYPES = {"int": ("int", "integer"), "bigint": ("long", "long"), "double": ("
 
 def document(g: Graph, format: str) -> DataFrame:
     """(at, line): a graph as the lines of a document, numbered in order."""
-    if format not in WRITERS:
+    if format not in WRITERS and format not in DIALECTS:
         raise GraphError("E_UNSUPPORTED", format)
     ship(g.spark)
     nodes, edges = _rows(g)
     kinds = {"n": {c: g.nodes.schema[c].dataType.simpleString() for c in g.node_attributes()}, "e": {c: g.edges.schema[c].dataType.simpleString() for c in g.edge_attributes() if c not in ("pair", "directed", "w64")}}
-    head, node_line, middle, edge_line, tail = WRITERS[format](g, kinds)
+    head, node_line, middle, edge_line, tail = (WRITERS | DIALECTS)[format](g, kinds)
 
     def lines(make, mark):
         def run(batches: Iterator) -> Iterator:
@@ -179,6 +180,44 @@ def _json(g, kinds):
     return head, node, '],"links":[', edge, "]}"
 
 
+def _dumps(x) -> str:
+    return json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+
+
+def _with_weight(r) -> dict:
+    """An edge's attributes and its weight, if it has a finite one."""
+    w = _w(r)
+    return {**({"weight": w} if w is not None and abs(w) != float("inf") else {}), **json.loads(r["attrs"])}
+
+
+def _comma(r) -> str:
+    return "" if r["at"] == 0 else ","
+
+
+def _vis(g, kinds):
+    arrows = {"arrows": "to"} if g.directed else {}
+    node = lambda r: _comma(r) + _dumps({"id": r["id"], **json.loads(r["attrs"])})
+    return '{"nodes":[', node, '],"edges":[', lambda r: _comma(r) + _dumps({"from": r["source"], "to": r["target"], **arrows, **_with_weight(r)}), "]}"
+
+
+def _graphology(g, kinds):
+    options = {"type": "directed" if g.directed else "undirected", "multi": True, "allowSelfLoops": True}
+    node = lambda r: _comma(r) + _dumps({"key": r["id"], "attributes": json.loads(r["attrs"])})
+    return f'{{"attributes":{_dumps(g.attrs)},"options":{_dumps(options)},"nodes":[', node, '],"edges":[', lambda r: _comma(r) + _dumps({"source": r["source"], "target": r["target"], "attributes": _with_weight(r)}), "]}"
+
+
+def _jgf(g, kinds):
+    node = lambda r: f"{_comma(r)}{_dumps(str(r['id']))}:{_dumps({'metadata': json.loads(r['attrs'])})}"
+    edge = lambda r: _comma(r) + _dumps({"source": str(r["source"]), "target": str(r["target"]), "metadata": _with_weight(r)})
+    return f'{{"graph":{{"directed":{_dumps(g.directed)},"metadata":{_dumps(g.attrs)},"nodes":{{', node, '},"edges":[', edge, "]}}"
+
+
+def _cytoscape(g, kinds):
+    node = lambda r: _comma(r) + _dumps({"data": {"id": str(r["id"]), **json.loads(r["attrs"])}})
+    edge = lambda r: _comma(r) + _dumps({"data": {"source": str(r["source"]), "target": str(r["target"]), **_with_weight(r)}})
+    return f'{{"data":{_dumps({**g.attrs, "directed": g.directed})},"elements":{{"nodes":[', node, '],"edges":[', edge, "]}}"
+
+
 def _gexf(g, kinds):
     keys = {k: {n: str(i) for i, n in enumerate(kinds[k]) if n != "label"} for k in "ne"}
     block = lambda k, cls: f'<attributes class="{cls}">' + "".join(f'<attribute id="{i}" title="{T.escape_xml(n)}" type="{XML_TYPES.get(kinds[k][n], ("", "string"))[1]}"/>' for n, i in keys[k].items()) + "</attributes>" if keys[k] else ""
@@ -272,6 +311,8 @@ def _neo4j(g, kinds):
     return head, node, middle, edge, None
 
 
+#: Further JSON dialects, besides node-link, which d3 reads too.
+DIALECTS = {"json-vis": _vis, "json-graphology": _graphology, "json-jgf": _jgf, "json-cytoscape": _cytoscape}
 WRITERS = {"csv": _csv, "json": _json, "gexf": _gexf, "graphml": _graphml, "gml": _gml, "dot": _dot, "pajek": _pajek, "neo4j": _neo4j}
 
 
