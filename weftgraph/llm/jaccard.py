@@ -23,7 +23,8 @@ different components of a bucket are compared. A frequent signature leaves a tas
 sent past the shuffle's key; exact copies stand for each other. Components come from star contraction.
 
 Null or empty texts have an empty set and link with nothing. Rows with equal ids are separate rows; if their texts
-differ, a link of either counts for the id. Rows without an id are returned with no component.
+differ, a link of either counts for the id. Rows without an id link with nothing; one that is an exact copy of a row
+with an id has its component, any other none.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _shingles as S
-from ._common import Scratch, partitions
+from ._common import Scratch, free_name, partitions
 from ..operators.components import components
 
 U = np.uint64
@@ -476,11 +477,13 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) but near duplicates: of each component the document of
     least id stays, once if its row is repeated. Rows without an id or without words all stay."""
     found = near_duplicates(docs, size).filter("doc_id is not null and n_shingles > 0")
-    told = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1").select(F.col("doc_id").alias("id_"), "gone")
-    left = docs.join(told.filter("gone"), docs["doc_id"] == F.col("id_"), "left_anti")
-    again = told.filter("not gone").select("id_")
+    told = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1")
+    id_ = free_name(docs, "id_")
+    told = told.select(F.col("doc_id").alias(id_), "gone")
+    left = docs.join(told.filter("gone").select(id_), docs["doc_id"] == F.col(id_), "left_anti")
+    again = told.filter("not gone").select(id_)
     if not again.limit(1).count():
         return left
-    once = left.join(again, left["doc_id"] == F.col("id_"), "left_anti")
-    more = left.join(again, left["doc_id"] == F.col("id_"), "left_semi").dropDuplicates(["doc_id"])
+    once = left.join(again, left["doc_id"] == F.col(id_), "left_anti")
+    more = left.join(again, left["doc_id"] == F.col(id_), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(more)
