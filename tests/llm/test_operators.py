@@ -157,6 +157,18 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert jaccard.near_duplicates(docs_of(spark, odd).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_near_duplicates_least_copy_comes_last(spark, files):
+    """Exact copies in descending order of their ids, in one task, with near copies that link to the class."""
+    base = [f"b{k}" for k in range(60)]
+    near = [*base[:59], "end"]
+    rows = [(100, " ".join(base)), (60, " ".join(near)), (40, " ".join(base)), (5, " ".join(base)), (3, "quite another text of seven words"), (2, " ".join(near))]
+    rows += [(i + 1000, f"filler number {i} has words of its own {i * 7}") for i in range(30, 0, -1)]
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(docs_of(spark, rows).coalesce(files)).collect())
+    assert got == plain_components([(i, t) for i, t in rows])
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, rows).coalesce(files)).collect() if r["doc_id"] < 1000) == [2, 3]
+
+
 def test_one_of_each(spark):
     t = "one two three four five six seven eight nine ten"
     rows = [(2, t), (1, t), (1, t), (3, t + " eleven"), (4, "quite another text it is"), (5, None), (None, t)]

@@ -151,6 +151,18 @@ def _fresh(sets: Sets, seen: set) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _least(sets: Sets, doc: np.ndarray, least: dict) -> np.ndarray:
+    """Rows whose id is less than that of every earlier copy of their set in the task: of the copies in a block the one
+    of least id. The least id of all copies is so among them, whatever the order and the split of the rows."""
+    best: dict = {}
+    for i in np.flatnonzero(sets.n):
+        key = (int(sets.d1[i]), int(sets.d2[i]))
+        if doc[i] < least.get(key, np.inf):
+            least[key] = int(doc[i])
+            best[key] = i
+    return np.array(sorted(best.values()), np.int64)
+
+
 def _describe(size: int):
     """doc_id, n, digest, sketch; the last row of each stretch also carries the signatures met twice in it."""
 
@@ -185,15 +197,16 @@ def _describe(size: int):
 
 def _sign(size: int, often):
     """(sig, doc, direct, twin): taken signatures. A signature's first document in a block goes to its bucket by the
-    signature; the others of the block are direct: known to have a twin, and dealt out by document."""
+    signature; the others of the block are direct: known to have a twin, and dealt out by document. Of exact copies
+    those that come down to the least id are signed; the rows of any but the least are dropped later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, seen = often.value, set()
+        rare, least = often.value, {}
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, b in S.blocks(column):
                 sets = Sets(column, a, b, size)
-                got = list(sets.taken(_fresh(sets, seen), rare))
+                got = list(sets.taken(_least(sets, ids[a:b], least), rare))
                 if not got:
                     continue
                 row, sig = (np.concatenate(x) for x in zip(*got, strict=True))
