@@ -312,6 +312,34 @@ def test_leaks(spark):
     assert len(decontaminate.indexes(d, bench, block=200)) > 1
 
 
+def test_leaks_of_edited_copies(spark):
+    """Copies with every third to eighth word replaced, a short one with one; each also the only holder of its item."""
+    r = random.Random(8)
+    items = [[f"q{r.randrange(3000)}" for _ in range(n)] for n in (15, 30, 44, 63, 12, 26, 50)]
+    every = [5, 5, 4, 6, 6, 3, 8]
+    noise = lambda n: [f"n{r.randrange(500)}" for _ in range(n)]
+    rows = [(i, " ".join(noise(60) + [f"z{k}" if k % e == e - 1 else x for k, x in enumerate(t)] + noise(60))) for i, (t, e) in enumerate(zip(items, every, strict=True))]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in checked(decontaminate.leaks(docs_of(spark, rows), bench))}
+    assert got == {(i, i) for i in range(len(items))}
+
+
+def test_leak_seeds_lose_nothing():
+    """Against the alignment of every item with every text, of few different words."""
+    r = random.Random(6)
+    items = [[r.randrange(30) for _ in range(r.randint(4, 14))] for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        t = [x for x in r.choice(items) for x in ([x] if r.random() < 0.8 else r.choice([[], [r.randrange(30)], [x, r.randrange(30)]]))]
+        texts.append([r.randrange(30) for _ in range(r.randint(0, 20))] + t + [r.randrange(30) for _ in range(r.randint(0, 20))])
+    bench = [{"item_id": i, "text": " ".join(f"w{x}" for x in t)} for i, t in enumerate(items)]
+    index = decontaminate.index_of(bench)
+    w = decontaminate.S.words(decontaminate.pa.array([" ".join(f"w{x}" for x in t) for t in texts]), blank=decontaminate.S.PUNCTUATION)
+    got = {(t, i): score for t, i, score, _, _ in index.leaks(w, 0.5)}
+    want = {(t, i): s for t, text in enumerate(texts) for i, item in enumerate(items) if (s := decontaminate.align(np.array(item), np.array(text))[0] / (2 * len(item))) >= 0.5}
+    assert got == want
+
+
 # mixing
 
 

@@ -1,19 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Texts are compared by words: runs of letters and digits, the letters A-Z in one case. Every n-gram of the benchmark is
-counted over all documents. Of each STRETCH consecutive n-grams of an item the rarest is a seed, so any copied passage
-of STRETCH + SEED - 1 words holds one, however common the item has become. A seed in a document opens a window around
-it, wide enough for the item; windows of one item that touch are one. The item is aligned with the window locally
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
+
+Texts are compared by words: runs of letters and digits, the letters A-Z in one case. Every pair of neighbouring words
+of an item is a seed. Only places with too few seeds to reach the score are left out: an alignment of LEAST or more of
+an item of n words holds (4 LEAST - 1) n / 3 - 1 of its pairs or more, within (2 - LEAST) n words of the text (each gap
+between runs of equal words costs a mismatch or a gap, and a run of k words holds k - 1 pairs). So nothing that scores
+LEAST is lost, but for items of three words of which only the middle one differs. Seeds that are so close open windows,
+wide enough for the item; windows of one item that touch are one. The item is aligned with the window locally
 (MATCH, MISMATCH, GAP); the score is divided by that of the item with itself. Edited and shortened copies score lower,
 and a score of LEAST or more is a leak.
 
 The benchmark is taken in blocks of at most BLOCK bytes of text, each of which is sent to all tasks; documents are
-read once for the counts and once for the alignments of each block, and never shuffled.
+read once for each block, and never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +28,13 @@ from . import _shingles as S
 from ._common import free_name
 
 U = np.uint64
-SEED, STRETCH, LEAST = 3, 6, 0.5
+#: Words of a seed, and of the shortest item.
+SEED, SHORTEST, LEAST = 2, 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Bytes of benchmark text in a block.
 BLOCK = 8 << 20
+#: Seeds of texts (times the items they stand in) handled at once.
+HITS = 1 << 20
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -59,12 +63,15 @@ def span(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
 
 @dataclass
 class Index:
-    """The items of a block: their word hashes, and the sorted seeds with the places they stand for."""
+    """The items of a block: their word hashes, and the sorted seeds. Places first[k] .. first[k + 1] of seed k are the
+    items, and the words in them, that it stands at."""
 
     ids: list
     items: list[np.ndarray]
     seeds: np.ndarray
-    places: list[list[tuple[int, int]]]
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
 
     def leaks(self, w: S.Words, least: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word + 1) of each leak in a block of texts, words from 0 in the text."""
@@ -73,58 +80,79 @@ class Index:
         g = S.grams(w, SEED)
         at = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
         hits = np.flatnonzero((self.seeds[at] == g) & (g != 0))
-        text = np.searchsorted(w.first, hits, "right") - 1
-        windows: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
-        for k, t in zip(hits, text, strict=True):
-            a, b = int(w.first[t]), int(w.first[t + 1])
-            for item, place in self.places[at[k]]:
-                n = len(self.items[item])
-                lo, hi = max(a, int(k) - place - n // 2 - 2), min(b, int(k) - place + n + n // 2 + 2)
-                own = windows[int(t), item]
-                if own and own[-1][1] >= lo:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
-        for (t, item), own in sorted(windows.items()):
-            found = max((span(self.items[item], w.hash[lo:hi]) + (lo,) for lo, hi in own), key=lambda x: (x[0], -x[3]))
+        at, text = at[hits], np.searchsorted(w.first, hits, "right") - 1
+        total = np.cumsum(self.first[at + 1] - self.first[at])
+        a = 0
+        while a < len(hits):  # texts whole, as many as have HITS places
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right"))
+            b = int(np.searchsorted(text, text[b], "left")) if b < len(hits) else b
+            b = b if b > a else int(np.searchsorted(text, text[a], "right"))
+            yield from self._aligned(w, hits[a:b], at[a:b], text[a:b], least)
+            a = b
+
+    def _aligned(self, w: S.Words, hits: np.ndarray, at: np.ndarray, text: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+        count = self.first[at + 1] - self.first[at]
+        start = np.cumsum(count) - count
+        of = np.arange(count.sum()) - np.repeat(start - self.first[at], count)
+        item, place, k, t = self.item[of], self.place[of], np.repeat(hits, count), np.repeat(text, count)
+        order = np.lexsort((k, item, t))
+        item, place, k, t = item[order], place[order], k[order], t[order]
+        # one row for each word of a text that starts a seed of the item; a stretch of `need` rows that is short enough counts
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (item[1:] != item[:-1])
+        no, one = np.cumsum(new) - 1, np.flatnonzero(new)
+        n = self.lengths[item[one]]
+        need = np.maximum(1, np.ceil((4 * least - 1) * n / 3 - 1 - 1e-9).astype(np.int64))
+        last = np.minimum(np.arange(len(one)) + need - 1, len(one) - 1)
+        fits = (np.arange(len(one)) + need <= len(one)) & (item[one][last] == item[one]) & (t[one][last] == t[one]) & (k[one][last] - k[one] <= np.ceil((2 - least) * n))
+        cover = np.zeros(len(one) + 1, np.int64)
+        np.add.at(cover, np.flatnonzero(fits), 1)
+        np.add.at(cover, last[fits] + 1, -1)
+        kept = np.flatnonzero((np.cumsum(cover[:-1]) > 0)[no])
+        if not len(kept):
+            return
+        item, place, k, t = item[kept], place[kept], k[kept], t[kept]
+        n = self.lengths[item]
+        slack = np.ceil((1 - min(least, 0.5)) * n).astype(np.int64) + 2
+        lo, hi = np.maximum(w.first[t], k - place - slack), np.minimum(w.first[t + 1], k - place + n + slack)
+        order = np.lexsort((lo, item, t))
+        windows: dict[tuple[int, int], list[list[int]]] = {}
+        for x, i, a, b in zip(t[order].tolist(), item[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+            own = windows.setdefault((x, i), [])
+            if own and own[-1][1] >= a:
+                own[-1][1] = max(own[-1][1], b)
+            else:
+                own.append([a, b])
+        for (x, i), own in windows.items():
+            found = max((span(self.items[i], w.hash[a:b]) + (a,) for a, b in own), key=lambda y: (y[0], -y[3]))
             if found[0] >= least:
-                first = found[3] - int(w.first[t])
-                yield t, item, found[0], first + found[1], first + found[2]
+                base = found[3] - int(w.first[x])
+                yield x, i, found[0], base + found[1], base + found[2]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.array([len(x) for x in self.items], np.int64)
 
 
 def _items(rows: list) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
     w = S.words(pa.array([r["text"] for r in rows], pa.large_string()), blank=S.PUNCTUATION)
     g = S.grams(w, SEED)
     cut = lambda x: [x[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-    return [r["item_id"] for r in rows], cut(w.hash), [x[: max(0, len(x) - SEED + 1)] for x in cut(g)]
-
-
-def _counted(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
-    """The documents that hold each of these n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
+    return [r["item_id"] for r in rows], cut(w.hash), [x[: len(x) - SEED + 1] if len(x) >= SHORTEST else x[:0] for x in cut(g)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
-        total = np.zeros(len(g), np.int64)
-        for batch in batches:
-            for a, b in S.blocks(batch.column(0)):
-                w = S.words(batch.column(0), a, b, blank=S.PUNCTUATION)
-                x = S.grams(w, SEED)
-                at = np.minimum(np.searchsorted(g, x), len(g) - 1)
-                hit = np.flatnonzero((g[at] == x) & (x != 0))
-                text = np.searchsorted(w.first, hit, "right") - 1
-                pairs = np.unique(np.stack([at[hit], text]), axis=1)
-                total += np.bincount(pairs[0], minlength=len(g))
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["no", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "no long, n long").groupBy("no").agg(F.sum("n").alias("n")).collect()  # one number an n-gram of the block
-    return {int(grams[r["no"]]): r["n"] for r in rows}
+def index_of(rows: list) -> Index:
+    ids, hashes, grams = _items(rows)
+    seed = np.concatenate([np.zeros(0, U), *grams])
+    item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
+    order = np.argsort(seed, kind="stable")
+    seeds, first = np.unique(seed[order], return_index=True)
+    return Index(ids, hashes, seeds, np.append(first, len(seed)), item[order], place[order])
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> list[Index]:
-    """An index for each block of the benchmark (item_id, text). Items of fewer than SEED words can't be found.
+    """An index for each block of the benchmark (item_id, text). Items of fewer than SHORTEST words can't be found.
 
     Null texts are empty, null ids an item of no id; equal items are found each.
     """
@@ -135,17 +163,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> list[I
     out = []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # about BLOCK bytes
-        ids, hashes, grams = _items(rows)
-        every = np.unique(np.concatenate(grams)) if any(map(len, grams)) else np.zeros(0, U)
-        df = _counted(docs, every) if len(every) else {}
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, g in enumerate(grams):
-            cost = [(df.get(int(x), 0), int(x)) for x in g]
-            chosen = {min(range(a, min(a + STRETCH, len(g))), key=cost.__getitem__) for a in range(max(1, len(g) - STRETCH + 1))} if len(g) else set()
-            for p in sorted(chosen):
-                places[int(g[p])].append((i, p))
-        seeds = np.array(sorted(places), U)
-        out.append(Index(ids, hashes, seeds, [places[int(s)] for s in seeds]))
+        out.append(index_of(rows))
     return out
 
 
