@@ -459,6 +459,28 @@ def test_pseudonyms(spark, odd):
     assert pii.pseudonymise(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_values_side_by_side(spark):
+    """Values of one kind or several divided by a blank; whether their digits together are Luhn-valid by chance or not."""
+    date, ssn, phone, card = "2024-01-15", "123-45-6789", "555-123-4567", "4041894974608795"
+    rows = [
+        ("2024-01-15 2024-02-17", ["date", "date"]), ("123-45-6789 987-65-4321", ["ssn", "ssn"]), (f"{phone} {date}", ["phone", "date"]),
+        (f"{phone} 555-987", ["phone"]), (f"{card} {ssn}", ["card", "ssn"]), (f"12 {card} {phone}", ["card", "phone"]), (f"{card} {card}", ["card", "card"]),
+        ("4041 8949 7460 8795 123-4567", ["card"]), (f"{card}@mail.example.com", ["email"]), (f"1 555-123-4567 {card}x {card}", ["phone", "card"]), ("2023-02-30 1999-12-31", ["date"]),
+    ]
+    rows += [(f"2024-01-{i:02} 2023-03-{i:02}", ["date", "date"]) for i in range(1, 29)] + [(f"123-45-67{i} 987-65-43{i}", ["ssn", "ssn"]) for i in range(10, 40)]
+    got = {r["doc_id"]: r for r in checked(pii.pseudonymise(docs_of(spark, [(i, t) for i, (t, _) in enumerate(rows)]), spans="spans"))}
+    assert {t: [s["kind"] for s in got[i]["spans"]] for i, (t, _) in enumerate(rows)} == dict(rows)
+    for i, (t, _) in enumerate(rows):
+        out, at = "", 0
+        for s in got[i]["spans"]:
+            assert t[s["start"] : s["start"] + len(s["value"])] == s["value"]
+            out += t[at : s["start"]] + s["pseudonym"]
+            at = s["start"] + len(s["value"])
+        assert got[i]["text"] == out + t[at:]
+    alone = pii.pseudonymise(docs_of(spark, [(1, date)])).first()["text"]
+    assert got[2]["spans"][1]["pseudonym"] == alone
+
+
 def luhn(d):
     total = 0
     for k, c in enumerate(reversed(d)):

@@ -1,8 +1,10 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel permutation.
 
 A text is cut at its e-mail addresses, card numbers, telephone numbers, IPv4 addresses, social security numbers
-and ISO dates, found in one pass, leftmost first. A number or date counts only if it is valid (Luhn, octets up to
-255, a day that exists). Each value is permuted within its own format: digits stay digits, letters letters of the
+and ISO dates. A number or date counts only if it is valid (Luhn, octets up to 255, a day that exists). Cards are
+found first, in runs of groups of digits: from each group on, the shortest row of groups that is valid; groups of an
+e-mail address, a social security number, a date or a telephone number of three groups are in no run. The other kinds
+are found in what is left, in one pass, leftmost first; each match of theirs is valid, so none hides another. Each value is permuted within its own format: digits stay digits, letters letters of the
 same case, a card stays Luhn-valid, an address an address and a date a date. The permutation depends on the key,
 the kind and the format alone, so equal values have equal pseudonyms in all documents and different values
 different ones. Lengths don't change.
@@ -29,7 +31,15 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "date": r"(?<![0-9A-Za-z-])[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z-])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Days that exist, so that a date that doesn't is no match.
+DAY = r"(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)-02-29)"
+PATTERNS["date"] = rf"(?<![0-9A-Za-z-]){DAY}(?![0-9A-Za-z-])"
+#: All kinds but cards.
+ANY = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
+#: Values of groups of digits that no card may take a group of.
+STRICT = "|".join(f"(?:{p})" for p in (PATTERNS["email"], PATTERNS["ssn"], PATTERNS["date"], r"(?<![0-9A-Za-z+])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"))
+#: These, or a run of 13 digits or more (possessive, so matching is linear) with what would spoil its end.
+RUN = rf"{STRICT}|(?<![0-9A-Za-z.-])[0-9](?:(?:[ -](?!{STRICT}))?[0-9]){{12,}}+[A-Za-z]?"
 DEFAULT_KEY = "pseudonym-key"
 ROUNDS = 8
 #: A Gregorian cycle of 400 years has 146,097 days, 627 * 233. Dates are permuted within their own cycle.
@@ -178,6 +188,27 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _cards(run: Column) -> Column:
+    """array<struct<start, n>>: the cards in a match of RUN, start from 0."""
+    groups = F.split(run, "[ -]")
+
+    def within(g: Column) -> Column:
+        def fits(i: Column, j: Column) -> Column:
+            return let(F.array_join(F.slice(g, i, j - i + 1), ""), lambda d: F.length(d).between(13, 19) & d.rlike("^[0-9]+$") & (F.pmod(_luhn_sum(d, False), F.lit(10)) == 0))
+
+        def step(s: Column, i: Column) -> Column:
+            free = (i > s["to"]) & ((i == 1) | (F.substring(run, s["at"], F.lit(1)) == " "))
+            to = F.when(free, F.get(F.filter(F.sequence(i, F.least(i + 18, F.size(g))), lambda j: fits(i, j)), F.lit(0)))
+            card = lambda j: F.struct(s["at"].alias("start"), F.length(F.array_join(F.slice(g, i, j - i + 1), "-")).alias("n"))
+            then = s["at"] + F.length(F.get(g, i - 1)) + 1
+            return let(F.array(to), lambda j: F.struct(F.coalesce(j[0], s["to"]).alias("to"), then.alias("at"), F.when(j[0].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(card(j[0])))).alias("out")))
+
+        start = F.struct(F.lit(0).alias("to"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step)["out"]
+
+    return F.when(run.rlike(r"\A[0-9](?:[ -]?[0-9]){12,}+[A-Za-z]?\z"), let(groups, within)).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+
+
 def pseudonym(value: Column, kind: Column, key: Column) -> Column:
     return (
         F.when(kind == "email", _email(value, key)).when(kind == "card", _card(value, key)).when(kind == "ip", _ip(value, key))
@@ -193,9 +224,31 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", sp
     Repeated rows have the same result. A name in spans that docs has already gets underscores.
     """
     t, k = F.col(text), F.lit(key)
-    has = F.coalesce(t.rlike(f"[0-9]{{2}}|@") & t.rlike(ANY), F.lit(False))
-    found, gaps = free_name(docs, "pii_found"), free_name(docs, "pii_gaps")
-    cut = docs.withColumn(found, F.when(has, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))).withColumn(gaps, F.when(has, F.split(t, ANY, -1)))
+    has = F.coalesce(t.rlike("[0-9]{2}|@") & (t.rlike(ANY) | t.rlike(PATTERNS["card"])), F.lit(False))
+    found, gaps, cards, rest = (free_name(docs, f"pii_{x}") for x in ("found", "gaps", "cards", "rest"))
+    # cards by place: what lies before each, and after the last, is left for the other kinds
+    runs, between = F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), F.split(t, RUN, -1)
+
+    def cards_of(r: Column, gap: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            at = s["at"] + F.length(x["gap"])
+            moved = F.transform(_cards(x["run"]), lambda c: F.struct((c["start"] + at).alias("start"), c["n"].alias("n")))
+            return F.struct((at + F.length(x["run"])).alias("at"), F.concat(s["out"], moved).alias("out"))
+
+        pairs = F.zip_with(r, F.slice(gap, 1, F.size(r)), lambda a, b: F.struct(a.alias("run"), b.alias("gap")))
+        return F.aggregate(pairs, start, step)["out"]
+
+    none = F.array().cast("array<struct<start:int,n:int>>")
+    cut = docs.withColumn(cards, F.when(has & t.rlike(PATTERNS["card"]), cards_of(runs, between)).otherwise(none))
+    c = F.col(cards)
+    ends = F.concat(F.array(F.lit(0)), F.transform(c, lambda x: x["start"] + x["n"]))
+    starts = F.concat(F.transform(c, lambda x: x["start"]), F.array(F.length(t)))
+    parts = F.when(F.size(c) == 0, F.array(t)).otherwise(F.zip_with(ends, starts, lambda a, b: F.substring(t, a + 1, b - a)))
+    cut = cut.withColumn(rest, F.when(has, parts))
+    values = F.transform(F.col(rest), lambda p, i: F.concat(F.regexp_extract_all(p, F.lit(ANY), F.lit(0)), F.when(i < F.size(c), F.array(F.substring(t, F.get(c, i)["start"] + 1, F.get(c, i)["n"]))).otherwise(F.array().cast("array<string>"))))
+    cut = cut.withColumn(found, F.when(has, F.flatten(values)).otherwise(F.array().cast("array<string>"))).withColumn(gaps, F.when(has, F.flatten(F.transform(F.col(rest), lambda p: F.split(p, ANY, -1)))))
 
     def told(v: Column) -> Column:
         return let(kind_of(v), lambda kind: F.struct(kind.alias("kind"), v.alias("value"), pseudonym(v, kind, k).alias("pseudonym")))
@@ -207,4 +260,4 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", sp
         at = lambda i: F.aggregate(F.slice(F.col(gaps), 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(F.col(found), 1, i), F.lit(0), lambda n, m: n + F.length(m["value"]))
         placed = F.transform(F.col(found), lambda m, i: F.struct(m["kind"].alias("kind"), m["value"].alias("value"), at(i).alias("start"), m["pseudonym"].alias("pseudonym")))
         out = out.withColumn(free_name(docs, spans), F.filter(placed, lambda m: m["kind"].isNotNull()))
-    return out.drop(found, gaps)
+    return out.drop(found, gaps, cards, rest)
