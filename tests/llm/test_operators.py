@@ -481,6 +481,12 @@ def test_values_side_by_side(spark):
     assert got[2]["spans"][1]["pseudonym"] == alone
 
 
+@pytest.mark.parametrize("value", ["8.8.8.8", "4 0 4 1 8 9 4 9 7 4 6 0 8 7 9 5"])
+def test_values_without_adjacent_digits(spark, value):
+    r = pii.pseudonymise(docs_of(spark, [(1, f"see {value} only")]), spans="spans").first()
+    assert len(r["spans"]) == 1 and value not in r["text"]
+
+
 def luhn(d):
     total = 0
     for k, c in enumerate(reversed(d)):

@@ -224,7 +224,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", sp
     Repeated rows have the same result. A name in spans that docs has already gets underscores.
     """
     t, k = F.col(text), F.lit(key)
-    has = F.coalesce(t.rlike("[0-9]{2}|@") & (t.rlike(ANY) | t.rlike(PATTERNS["card"])), F.lit(False))
+    has = F.coalesce(t.rlike("[0-9]|@") & (t.rlike(ANY) | t.rlike(PATTERNS["card"])), F.lit(False))
     found, gaps, cards, rest = (free_name(docs, f"pii_{x}") for x in ("found", "gaps", "cards", "rest"))
     # cards by place: what lies before each, and after the last, is left for the other kinds
     runs, between = F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), F.split(t, RUN, -1)
