@@ -384,3 +384,22 @@ def test_metadata_patches():
     assert resolve_meta({"name": "a", "extra": {"x": 1}}, None, {"name": "b", "own": 2}, {"name": None}) == {"extra": {"x": 1, "own": 2}}
     with pytest.raises(GraphError):
         resolve_meta({"name": 1})
+
+
+def test_queries_over_whole_graphs(spark, sf):
+    """Components over every edge against union-find."""
+    from weftgraph.plans.graphs import transitions
+
+    g = transitions(spark, sf)
+    label = {r[0]: r[0] for r in g.nodes.select("idx").collect()}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in g.edges.select("src", "dst").collect():
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    first = {x: i for i, x in enumerate(sorted({root(x) for x in label}))}
+    assert dict(queries.QUERIES["connected_components_all"](spark, sf).select("idx", "component").collect()) == {x: first[root(x)] for x in label}

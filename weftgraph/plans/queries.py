@@ -183,6 +183,7 @@ def _recursive(name: str, run, sql: str, graph: str = "directed") -> None:
 
 _LARGE = "w > 99"  # few enough edges for several components
 _recursive("connected_components", lambda g: components.connected_components(g.nodes, g.edges.filter(_LARGE)), f", f AS (SELECT src AS a, dst AS b FROM E WHERE {_LARGE} UNION SELECT dst, src FROM E WHERE {_LARGE}), r AS (SELECT idx AS x, idx AS y FROM V UNION SELECT r.x, f.b FROM r JOIN f ON r.y = f.a), m AS (SELECT x AS idx, min(y) AS c FROM r GROUP BY x) SELECT idx, dense_rank() OVER (ORDER BY c) - 1 AS component FROM m")
+_add("connected_components_all", lambda g: components.connected_components(g.nodes, g.edges))  # over every edge; the recursive SQL is too slow for it
 _recursive("breadth_first_search", lambda g: algorithms.breadth_first_search(g, g.nodes.filter("idx = 0").select("idx")).select("idx", "depth"), ", f AS (SELECT DISTINCT src, dst FROM E), r AS (SELECT 0::BIGINT AS idx, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN f ON src = idx WHERE depth < 6) SELECT idx, min(depth) AS depth FROM r GROUP BY idx")
 _recursive("sssp", lambda g: algorithms.sssp(g.with_(edges=g.edges.withColumn("w", F.round("w").cast("float"))), 0).select("idx", "distance"), ", f AS (SELECT src, dst, min(round(w)::DOUBLE) AS w FROM E GROUP BY src, dst), r AS (SELECT 0::BIGINT AS idx, 0.0::DOUBLE AS d, 0 AS k UNION SELECT idx, min(d), k FROM (SELECT f.dst AS idx, r.d + f.w AS d, k + 1 AS k FROM r JOIN f ON f.src = r.idx WHERE k < 12) GROUP BY idx, k) SELECT idx, min(d) AS distance FROM r GROUP BY idx")
 _add("triangle_count", algorithms.triangle_count, ", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM E WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b) SELECT idx, count(n) AS triangles FROM V LEFT JOIN (SELECT a AS n FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) ON n = idx GROUP BY idx", "undirected")
