@@ -387,7 +387,8 @@ def test_metadata_patches():
 
 
 def test_queries_over_whole_graphs(spark, sf):
-    """Components over every edge against union-find."""
+    """Components over every edge against union-find, betweenness against the sum over all sources."""
+    from weftgraph.operators import algorithms
     from weftgraph.plans.graphs import transitions
 
     g = transitions(spark, sf)
@@ -403,3 +404,8 @@ def test_queries_over_whole_graphs(spark, sf):
         label[b] = a
     first = {x: i for i, x in enumerate(sorted({root(x) for x in label}))}
     assert dict(queries.QUERIES["connected_components_all"](spark, sf).select("idx", "component").collect()) == {x: first[root(x)] for x in label}
+    larger = sf.replace("0.001", "0.01")  # of more than 64 nodes
+    u = transitions(spark, larger, False)
+    assert u.nodes.count() > 64
+    for name, run in (("betweenness", algorithms.betweenness_centrality), ("edge_betweenness", algorithms.edge_betweenness)):
+        assert sorted(queries.QUERIES[name](spark, larger).collect()) == sorted(run(u, u.nodes).collect())

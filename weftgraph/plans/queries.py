@@ -172,8 +172,8 @@ _PR = ", o AS (SELECT idx, coalesce(sum(w::DOUBLE), 0) AS o FROM V LEFT JOIN E O
 _add("page_rank", lambda g: algorithms.page_rank(g, tol=0.0, max_iter=5).select("idx", F.round("rank", 8).alias("rank")), f"{_PR} SELECT idx, round(x, 8) AS rank FROM r5")
 _add("katz", lambda g: algorithms.katz_centrality(g, 0.0001, 1.0, 0.0, 3, normalized=False).select("idx", F.round("score", 6).alias("score")), ", k0 AS (SELECT idx, 0.0::DOUBLE AS x FROM V)" + "".join(f", k{i + 1} AS (SELECT V.idx, 1 + 0.0001 * coalesce(sum(w::DOUBLE * x), 0) AS x FROM V LEFT JOIN E ON dst = V.idx LEFT JOIN k{i} ON src = k{i}.idx GROUP BY V.idx)" for i in range(3)) + " SELECT idx, round(x, 6) AS score FROM k3")
 _add("hits", lambda g: algorithms.hits(g, 0.0, 2).select("idx", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority")), ", h0 AS (SELECT idx, 1.0::DOUBLE / (SELECT count(*) FROM V) AS h FROM V)" + "".join(f", a{i} AS (SELECT dst AS idx, sum(w::DOUBLE * h) AS a FROM E JOIN h{i} ON src = idx GROUP BY dst), b{i} AS (SELECT idx, a / (SELECT sum(a) FROM a{i}) AS a FROM a{i}), g{i} AS (SELECT src AS idx, sum(w::DOUBLE * a) AS h FROM E JOIN b{i} ON dst = idx GROUP BY src), h{i + 1} AS (SELECT idx, h / (SELECT sum(h) FROM g{i}) AS h FROM g{i})" for i in range(2)) + " SELECT V.idx, round(coalesce(h, 0), 8) AS hub, round(coalesce(a, 0), 8) AS authority FROM V LEFT JOIN h2 USING (idx) LEFT JOIN b1 USING (idx)")
-_add("eigenvector", lambda g: algorithms.eigenvector_centrality(g, 0.0, 10).select("idx", F.round("score", 6).alias("score")), graph="undirected")
-_add("personalized_page_rank", lambda g: algorithms.personalized_page_rank(g, g.nodes.filter("idx < 3").select("idx", F.lit(1.0).alias("p")), max_iter=10).select("idx", F.round("rank", 8).alias("rank")))
+_add("eigenvector", lambda g: algorithms.eigenvector_centrality(g).select("idx", F.round("score", 6).alias("score")), graph="undirected")
+_add("personalized_page_rank", lambda g: algorithms.personalized_page_rank(g, g.nodes.filter("idx < 3").select("idx", F.lit(1.0).alias("p"))).select("idx", F.round("rank", 8).alias("rank")))
 
 
 def _recursive(name: str, run, sql: str, graph: str = "directed") -> None:
@@ -189,12 +189,12 @@ _recursive("sssp", lambda g: algorithms.sssp(g.with_(edges=g.edges.withColumn("w
 _add("triangle_count", algorithms.triangle_count, ", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM E WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b) SELECT idx, count(n) AS triangles FROM V LEFT JOIN (SELECT a AS n FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) ON n = idx GROUP BY idx", "undirected")
 _add("k_core", algorithms.k_core, graph="undirected")
 _add("minimum_spanning_tree", algorithms.minimum_spanning_tree, graph="undirected")
-_add("label_propagation", lambda g: algorithms.label_propagation(g, 5), graph="undirected")
-_add("louvain", lambda g: algorithms.louvain(g, 2, 6), graph="undirected")
+_add("label_propagation", algorithms.label_propagation, graph="undirected")
+_add("louvain", algorithms.louvain, graph="undirected")
 _add("bellman_ford", lambda g: algorithms.bellman_ford(g, 0)[0].select("idx", F.round("distance", 4).alias("distance")))
 _add("closeness", algorithms.closeness_centrality, graph="undirected")
-_add("betweenness", lambda g: algorithms.betweenness_centrality(g, g.nodes.filter("idx < 64")), graph="undirected")
-_add("edge_betweenness", lambda g: algorithms.edge_betweenness(g, g.nodes.filter("idx < 16")), graph="undirected")
+_add("betweenness", algorithms.betweenness_centrality, graph="undirected")
+_add("edge_betweenness", algorithms.edge_betweenness, graph="undirected")
 _add("all_pairs", lambda g: algorithms.all_pairs_shortest_paths(g).select("src", "dst", F.round("distance", 4).alias("distance")), graph="undirected")
 _add("force_atlas2", lambda g: layout.ForceAtlas2(iterations=3).load(g).run(), graph="undirected")
 _add("fruchterman_reingold", lambda g: layout.fruchterman_reingold(g, iterations=3), graph="undirected")
