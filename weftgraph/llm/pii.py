@@ -1,54 +1,72 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel permutation.
 
-A text is cut at its e-mail addresses, card numbers, telephone numbers, IPv4 addresses, social security numbers
-and ISO dates. A number or date counts only if it is valid (Luhn, octets up to 255, a day that exists). Cards are
-found first, in runs of groups of digits: from each group on, the shortest row of groups that is valid; groups of an
-e-mail address, a social security number, a date or a telephone number of three groups are in no run. The other kinds
-are found in what is left, in one pass, leftmost first; each match of theirs is valid, so none hides another. Each value is permuted within its own format: digits stay digits, letters letters of the
-same case, a card stays Luhn-valid, an address an address and a date a date. The permutation depends on the key,
-the kind and the format alone, so equal values have equal pseudonyms in all documents and different values
-different ones. Lengths don't change.
-
-All of it is SQL expressions; there is no shuffle and no state.
+A text is cut at its e-mail addresses, IPv4 addresses, telephone numbers, social security numbers and ISO dates, found
+in one pass, leftmost first. Each pattern takes valid values only (octets up to 255, a day that exists, no part of a
+social security number all zero), so no match hides another. Card numbers are sought in what lies between: from each
+group of digits on, the shortest row of groups of 13 to 19 digits that is Luhn-valid; a row that isn't is sought again
+from its next group. Telephone numbers are those of the North American plan (with or without a country code) and
+international ones that start with `+` (7 to 15 digits); a national number of another plan is not told from any other
+number. An international number goes on over single blanks, dots and hyphens, but not into a value of another kind.
+
+Each value is permuted within its own format: digits stay digits, letters letters of the same case, a card stays
+Luhn-valid, an address an address, a date a date and a social security number one that can exist. E-mail domains and
+country codes stay. The permutation depends on the key, the kind and the format alone, so equal values have equal
+pseudonyms in all documents and different values different ones. Lengths don't change.
+
+The key is the secret: who has it can undo the permutation. It is given by the caller or by the session's KEY_CONF;
+without either, each application makes up its own, and pseudonyms link within that application only.
+
+All of it is SQL expressions; there is no shuffle and no state, and work is in proportion to a text's length. No
+pattern repeats a group without either a bound or possession, as the JVM matches those by recursion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import secrets as random_bytes
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free_name
+from ._common import free_name, let, running
 
 KINDS = ("email", "card", "ip", "phone", "ssn", "date")
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Days that exist, so that a date that doesn't is no match.
+_DAY = r"(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)-02-29)"
+#: No part is all zero and the area is not 666. Areas from 900 on are taxpayer numbers of the same format.
+_SSN = "(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 #: The patterns, by kind. Look-arounds let each start at the edge of a run only, so matching is linear.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z.])(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "date": r"(?<![0-9A-Za-z-])[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z-])",
+    "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
+    "ssn": rf"(?<![0-9A-Za-z-]){_SSN}(?![0-9A-Za-z-])",
+    "date": rf"(?<![0-9A-Za-z-]){_DAY}(?![0-9A-Za-z-])",
 }
-#: Days that exist, so that a date that doesn't is no match.
-DAY = r"(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)-02-29)"
-PATTERNS["date"] = rf"(?<![0-9A-Za-z-]){DAY}(?![0-9A-Za-z-])"
-#: All kinds but cards.
-ANY = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
-#: Values of groups of digits that no card may take a group of.
-STRICT = "|".join(f"(?:{p})" for p in (PATTERNS["email"], PATTERNS["ssn"], PATTERNS["date"], r"(?<![0-9A-Za-z+])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"))
-#: These, or a run of 13 digits or more (possessive, so matching is linear) with what would spoil its end.
-RUN = rf"{STRICT}|(?<![0-9A-Za-z.-])[0-9](?:(?:[ -](?!{STRICT}))?[0-9]){{12,}}+[A-Za-z]?"
-DEFAULT_KEY = "pseudonym-key"
+NATIONAL = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?|[0-9]{1,3}(?:[ .-]|(?=\())|(?<![0-9][ -])1)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+#: What an international number doesn't go on into: another value, or a card in its usual groups.
+_OTHER = "|".join(f"(?:{p})" for p in (PATTERNS["email"], PATTERNS["ip"], PATTERNS["ssn"], PATTERNS["date"], NATIONAL, "[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])"))
+INTERNATIONAL = rf"(?<![0-9A-Za-z+])\+[1-9](?:(?:[ .-](?!{_OTHER}))?(?:[0-9]|\([0-9])\)?){{6,14}}(?![0-9A-Za-z])"
+PATTERNS["phone"] = rf"(?:{NATIONAL})|(?:{INTERNATIONAL})"
+#: All kinds but cards; at one place, the first of them.
+ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "ip", "phone", "ssn", "date"))
+#: The place before each group of digits from which on there are enough for a card; group 1 is the longest such row.
+START = r"(?<![0-9A-Za-z.-])(?=([0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])))"
+#: The setting of a session that holds the key.
+KEY_CONF = "spark.weftgraph.pseudonym.key"
+#: Groups of digits folded at once, so that long runs of them take linear time.
+CHUNK = 128
 ROUNDS = 8
 #: A Gregorian cycle of 400 years has 146,097 days, 627 * 233. Dates are permuted within their own cycle.
 CYCLE, CYCLE_A, CYCLE_B = 146_097, 627, 233
 
+_made: dict[str, str] = {}
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value computed once: a lambda's body would compute it anew at each use."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_CONF, or one made up for this application."""
+    given = spark.conf.get(KEY_CONF, None)
+    return given or _made.setdefault(spark.sparkContext.applicationId, random_bytes.token_hex(32))
 
 
 def _digest(*parts: Column | str) -> Column:
@@ -73,39 +91,39 @@ def _turned(half: Column, other: Column, tag: Column) -> Column:
     return F.when(F.length(half) == 0, half).otherwise(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), char)))
 
 
-def permuted(value: Column, key: Column, kind: str) -> Column:
+def permuted(value: Column, key: Column, kind: Column | str) -> Column:
     """value with its letters and digits permuted within their classes; other characters stay.
 
     An even number of Feistel rounds over the two halves. What doesn't change under a round (the classes and the
     length of each half) is part of the tweak only through the length.
     """
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"), F.length(value).cast("string").alias("n"))
 
     def two(x: Column, k: Column) -> Column:
-        left = _turned(x["l"], x["r"], F.concat_ws("|", key, F.lit(kind), x["n"], k.cast("string"), F.lit("l")))
+        left = _turned(x["l"], x["r"], F.concat_ws("|", key, kind, x["n"], k.cast("string"), F.lit("l")))
         return F.struct(left.alias("l"), x["r"].alias("r"), x["n"].alias("n"))
 
     def other(x: Column, k: Column) -> Column:
-        right = _turned(x["r"], x["l"], F.concat_ws("|", key, F.lit(kind), x["n"], k.cast("string"), F.lit("r")))
+        right = _turned(x["r"], x["l"], F.concat_ws("|", key, kind, x["n"], k.cast("string"), F.lit("r")))
         return F.struct(x["l"].alias("l"), right.alias("r"), x["n"].alias("n"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda x, k: F.when(k % 2 == 1, two(x, k)).otherwise(other(x, k)))
     return let(done, lambda x: F.concat(x["l"], x["r"]))
 
 
-def product_permuted(n: Column, a: int, b: int, key: Column, kind: str) -> Column:
+def product_permuted(n: Column, a: Column | int, b: Column | int, key: Column, kind: Column | str) -> Column:
     """A permutation of 0 .. a * b - 1: rounds that turn the two mixed-radix digits by each other."""
-    start = F.struct(F.floor(n / F.lit(b)).cast("long").alias("x"), F.pmod(n, F.lit(b)).cast("long").alias("y"))
+    a, b, kind = (x if isinstance(x, Column) else F.lit(x) for x in (a, b, kind))
+    start = F.struct(F.floor(n / b).cast("long").alias("x"), F.pmod(n, b).cast("long").alias("y"))
 
     def step(s: Column, k: Column) -> Column:
-        x = F.pmod(s["x"] + _number(_digest(key, kind, k.cast("string"), s["y"].cast("string"))), F.lit(a))
-        y = F.pmod(s["y"] + _number(_digest(key, kind, k.cast("string"), s["x"].cast("string"))), F.lit(b))
-        odd = F.struct(x.cast("long").alias("x"), s["y"].alias("y"))
-        even = F.struct(s["x"].alias("x"), y.cast("long").alias("y"))
-        return F.when(k % 2 == 1, odd).otherwise(even)
+        odd = k % 2 == 1
+        turn = _number(_digest(key, kind, k.cast("string"), F.when(odd, s["y"]).otherwise(s["x"]).cast("string")))
+        return F.struct(F.when(odd, F.pmod(s["x"] + turn, a)).otherwise(s["x"]).cast("long").alias("x"), F.when(odd, s["y"]).otherwise(F.pmod(s["y"] + turn, b)).cast("long").alias("y"))
 
-    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), lambda s: s["x"] * b + s["y"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: s["x"] * b + s["y"])
 
 
 def _digits(value: Column) -> Column:
@@ -142,122 +160,181 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     return let(digits, within)
 
 
-def _card(value: Column, key: Column) -> Column:
-    check = lambda body: F.pmod(10 - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10)).cast("string")
-    moved = let(_digits(value), lambda d: let(permuted(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda body: F.concat(body, check(body))))
-    return _refilled(value, moved)
+def _pad(x: Column, n: int) -> Column:
+    return F.lpad(x.cast("string"), n, "0")
+
+
+def _octets(v: Column) -> Column:
+    """array<struct<v, least, size>>: each octet, and the least value and number of values of its length."""
+    one = lambda x: F.struct(x.cast("long").alias("v"), F.when(F.length(x) == 1, 0).when(F.length(x) == 2, 10).otherwise(100).cast("long").alias("least"), F.when(F.length(x) == 1, 10).when(F.length(x) == 2, 90).otherwise(156).cast("long").alias("size"))
+    return F.transform(F.split(v, r"\."), one)
+
+
+def _place(octet: Column) -> Column:
+    return octet["v"] - octet["least"]
+
 
+def _plan(v: Column, d: Column, kind: Column) -> Column:
+    """struct<n, a, b, body, code>: the number of a value of a kind that is a product of ranges (n of 0 .. a * b - 1);
+    of others the body whose characters are permuted. code: digits of a country code, which stay.
 
-def _date(value: Column, key: Column) -> Column:
-    moved = let(F.unix_date(F.to_date(value)), lambda n: F.floor(n / F.lit(CYCLE)) * CYCLE + product_permuted(F.pmod(n, F.lit(CYCLE)).cast("long"), CYCLE_A, CYCLE_B, key, "date"))
-    return F.date_format(F.date_from_unix_date(moved.cast("int")), "yyyy-MM-dd")
+    An address keeps the length of each octet. Days are taken within their cycle. Social security numbers have 998 areas (1 to 999
+    without 666), 99 groups and 9,999 serials. The last ten digits of a national telephone number keep an area and an
+    exchange that start with 2 to 9, if they did; of an international one the code is what lies before its first
+    separator, or two digits if these are more than three.
+    """
+    of = lambda x, a, n: F.substring(x, a, n).cast("long")
+    ten = F.substring(d, F.length(d) - 9, F.lit(10))
+    national = (kind == "phone") & v.rlike(rf"\A(?:{NATIONAL})\z")
+    regular = national & ten.rlike("^[2-9][0-9]{2}[2-9]")
+    code = F.when(national, F.length(d) - 10).otherwise(F.length(F.regexp_extract(v, r"\A\+([0-9]{1,3}(?![0-9])|[0-9]{2})", 1)))
+    area = of(v, 1, 3)
+    ranges = (
+        F.when(kind == "ip", let(_octets(v), lambda o: F.struct((_place(o[0]) * o[1]["size"] * o[2]["size"] * o[3]["size"] + _place(o[1]) * o[2]["size"] * o[3]["size"] + _place(o[2]) * o[3]["size"] + _place(o[3])).alias("n"), (o[0]["size"] * o[1]["size"]).cast("int").alias("a"), (o[2]["size"] * o[3]["size"]).cast("int").alias("b"))))
+        .when(kind == "date", F.struct(F.pmod(F.unix_date(F.to_date(v)), F.lit(CYCLE)).cast("long").alias("n"), F.lit(CYCLE_A).alias("a"), F.lit(CYCLE_B).alias("b")))
+        .when(kind == "ssn", F.struct((((area - 1 - (area > 666).cast("long")) * 99 + of(v, 5, 2) - 1) * 9999 + of(v, 8, 4) - 1).alias("n"), F.lit(998 * 99).alias("a"), F.lit(9999).alias("b")))
+        .when(regular, F.struct(((of(ten, 1, 3) - 200) * 8_000_000 + (of(ten, 4, 3) - 200) * 10_000 + of(ten, 7, 4)).alias("n"), F.lit(80_000).alias("a"), F.lit(80_000).alias("b")))
+    )
+    body = F.when(kind == "email", F.substring_index(v, "@", 1)).when(kind == "card", F.substring(d, F.lit(1), F.length(d) - 1)).when(kind == "phone", F.substring(d, code + 1, F.length(d)))
+    return F.struct(ranges.alias("r"), body.alias("body"), F.when(kind == "phone", code).alias("code"))
 
 
-def _ip(value: Column, key: Column) -> Column:
-    part = F.split(value, r"\.")
-    of = lambda i: part[i].cast("long")
-    octet = lambda n, d: F.pmod(F.floor(n / F.lit(d)), F.lit(256)).cast("string")
-    return let(product_permuted(of(0) * 16777216 + of(1) * 65536 + of(2) * 256 + of(3), 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", octet(n, 16777216), octet(n, 65536), octet(n, 256), octet(n, 1)))
+def pseudonym(value: Column, kind: Column, key: Column) -> Column:
+    """The pseudonym of a valid value of a kind."""
+    floor = lambda m, x, y: F.pmod(F.floor(m / F.lit(x)), F.lit(y))
+
+    def digits(d: Column) -> Column:
+        def planned(p: Column) -> Column:
+            m = F.when(p["r"].isNotNull(), product_permuted(p["r"]["n"], p["r"]["a"], p["r"]["b"], key, kind))
+            moved = F.when(p["r"].isNull(), permuted(p["body"], key, kind))
 
+            def told(x: Column) -> Column:
+                m, moved = x["m"], x["moved"]
+                check = F.pmod(10 - F.pmod(_luhn_sum(moved, True), F.lit(10)), F.lit(10)).cast("string")
+                plan = F.concat((F.floor(m / F.lit(8_000_000)) + 200).cast("string"), (floor(m, 10_000, 800) + 200).cast("string"), _pad(floor(m, 1, 10_000), 4))
+                number = F.when(kind == "card", F.concat(moved, check)).otherwise(F.concat(F.substring(d, F.lit(1), p["code"]), F.coalesce(moved, plan)))
+                day = F.floor(F.unix_date(F.to_date(value)) / F.lit(CYCLE)) * CYCLE + m
+                k = F.floor(m / F.lit(99 * 9999)) + 1
 
-def _phone(value: Column, key: Column) -> Column:
-    """The country code stays; the last ten digits keep an area and an exchange that start with 2 to 9, if they did."""
+                def address(o: Column) -> Column:
+                    below = F.lit(1).cast("long")
+                    out = []
+                    for i in (3, 2, 1, 0):
+                        out.insert(0, (F.pmod(F.floor(m / below), o[i]["size"]) + o[i]["least"]).cast("string"))
+                        below = below * o[i]["size"]
+                    return F.concat_ws(".", *out)
 
-    def moved(ten: Column) -> Column:
-        area, exchange, line = (F.substring(ten, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-        m = product_permuted((area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line, 80_000, 80_000, key, "phone")
-        plan = let(m, lambda m: F.concat((F.floor(m / F.lit(8_000_000)) + 200).cast("string"), (F.pmod(F.floor(m / F.lit(10_000)), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(m, F.lit(10_000)).cast("string"), 4, "0")))
-        return F.when((area >= 200) & (exchange >= 200), plan).otherwise(permuted(ten, key, "phone"))
+                return (
+                    F.when(kind == "email", F.concat(moved, F.lit("@"), F.substring_index(value, "@", -1)))
+                    .when(kind == "ip", let(_octets(value), address))
+                    .when(kind == "date", F.date_format(F.date_from_unix_date(day.cast("int")), "yyyy-MM-dd"))
+                    .when(kind == "ssn", F.concat_ws("-", _pad(k + (k > 665).cast("long"), 3), _pad(floor(m, 9999, 99) + 1, 2), _pad(floor(m, 1, 9999) + 1, 4)))
+                    .otherwise(_refilled(value, number))
+                )
 
-    digits = let(_digits(value), lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), let(F.substring(d, F.length(d) - 9, F.lit(10)), moved)))
-    return _refilled(value, digits)
+            return let(F.struct(m.alias("m"), moved.alias("moved")), told)
 
+        return let(_plan(value, d, kind), planned)
 
-def _email(value: Column, key: Column) -> Column:
-    return F.concat(permuted(F.substring_index(value, "@", 1), key, "email"), F.lit("@"), F.substring_index(value, "@", -1))
+    return let(_digits(value), digits)
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match, null where it isn't valid."""
+    """The kind of a match of ANY."""
     whole = lambda k: value.rlike(rf"\A(?:{PATTERNS[k]})\z")
-    return (
-        F.when(whole("email"), "email")
-        .when(whole("card") & (F.pmod(_luhn_sum(_digits(value), False), F.lit(10)) == 0), "card")
-        .when(whole("ip"), "ip").when(whole("phone"), "phone").when(whole("ssn"), "ssn")
-        .when(whole("date") & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date")
-    )
-
+    return F.when(F.contains(value, F.lit("@")), "email").when(whole("ip"), "ip").when(whole("ssn"), "ssn").when(whole("date"), "date").otherwise("phone")
 
-def _cards(run: Column) -> Column:
-    """array<struct<start, n>>: the cards in a match of RUN, start from 0."""
-    groups = F.split(run, "[ -]")
 
-    def within(g: Column) -> Column:
-        def fits(i: Column, j: Column) -> Column:
-            return let(F.array_join(F.slice(g, i, j - i + 1), ""), lambda d: F.length(d).between(13, 19) & d.rlike("^[0-9]+$") & (F.pmod(_luhn_sum(d, False), F.lit(10)) == 0))
+def _valid_length(row: Column) -> Column:
+    """Characters of the shortest card at the start of a row of groups of digits, 0 if there is none.
 
-        def step(s: Column, i: Column) -> Column:
-            free = (i > s["to"]) & ((i == 1) | (F.substring(run, s["at"], F.lit(1)) == " "))
-            to = F.when(free, F.get(F.filter(F.sequence(i, F.least(i + 18, F.size(g))), lambda j: fits(i, j)), F.lit(0)))
-            card = lambda j: F.struct(s["at"].alias("start"), F.length(F.array_join(F.slice(g, i, j - i + 1), "-")).alias("n"))
-            then = s["at"] + F.length(F.get(g, i - 1)) + 1
-            return let(F.array(to), lambda j: F.struct(F.coalesce(j[0], s["to"]).alias("to"), then.alias("at"), F.when(j[0].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(card(j[0])))).alias("out")))
+    One pass over the characters: `a` sums the digits with each odd place doubled, `b` with each even one, so that
+    either is the Luhn sum of a card that ends there.
+    """
+    start = F.struct(*[F.lit(0).alias(c) for c in ("k", "n", "a", "b", "found")])
 
-        start = F.struct(F.lit(0).alias("to"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step)["out"]
+    def good(s: Column) -> Column:
+        return (s["found"] == 0) & s["k"].between(13, 19) & (F.when(s["k"] % 2 == 0, s["a"]).otherwise(s["b"]) % 10 == 0)
 
-    return F.when(run.rlike(r"\A[0-9](?:[ -]?[0-9]){12,}+[A-Za-z]?\z"), let(groups, within)).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+    def step(s: Column, c: Column) -> Column:
+        def digit(x: Column) -> Column:
+            twice = 2 * x - F.when(x > 4, 9).otherwise(0)
+            odd = s["k"] % 2 == 0
+            return F.struct((s["k"] + 1).alias("k"), (s["n"] + 1).alias("n"), (s["a"] + F.when(odd, twice).otherwise(x)).alias("a"), (s["b"] + F.when(odd, x).otherwise(twice)).alias("b"), s["found"].alias("found"))
 
+        gap = F.struct(s["k"].alias("k"), (s["n"] + 1).alias("n"), s["a"].alias("a"), s["b"].alias("b"), F.when(good(s), s["n"]).otherwise(s["found"]).alias("found"))
+        return F.when(c.isin(" ", "-"), gap).otherwise(let(F.ascii(c) - 48, digit))
 
-def pseudonym(value: Column, kind: Column, key: Column) -> Column:
-    return (
-        F.when(kind == "email", _email(value, key)).when(kind == "card", _card(value, key)).when(kind == "ip", _ip(value, key))
-        .when(kind == "phone", _phone(value, key)).when(kind == "ssn", permuted(value, key, "ssn")).when(kind == "date", _date(value, key)).otherwise(value)
-    )
+    return F.aggregate(F.split(row, ""), start, step, lambda s: F.when(good(s), s["n"]).otherwise(s["found"]))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", spans: str | None = None) -> DataFrame:
-    """docs with the personal data of its text column replaced; every row and other column stays.
+def _pieces(gap: Column) -> Column:
+    """array<struct<value, rest>> of a stretch of text: cards, each with the text after it; a head without a card.
 
-    spans: the name of a further column, array<struct<kind, value, start, pseudonym>> in order of place (start in
-    code points from 0). A null text stays null, with no spans; an empty or very long one is treated as any other.
-    Repeated rows have the same result. A name in spans that docs has already gets underscores.
+    The stretch is cut before each row that could be a card. A card covers the cuts within it: `skip` is what it
+    covers still. Cuts are folded CHUNK at a time, as each step of a fold copies what has been gathered.
     """
-    t, k = F.col(text), F.lit(key)
-    has = F.coalesce(t.rlike("[0-9]|@") & (t.rlike(ANY) | t.rlike(PATTERNS["card"])), F.lit(False))
-    found, gaps, cards, rest = (free_name(docs, f"pii_{x}") for x in ("found", "gaps", "cards", "rest"))
-    # cards by place: what lies before each, and after the last, is left for the other kinds
-    runs, between = F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), F.split(t, RUN, -1)
-
-    def cards_of(r: Column, gap: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
+    piece = "array<struct<value:string,rest:string>>"
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("value"), gap.alias("rest")))
 
+    def cut(c: Column) -> Column:
         def step(s: Column, x: Column) -> Column:
-            at = s["at"] + F.length(x["gap"])
-            moved = F.transform(_cards(x["run"]), lambda c: F.struct((c["start"] + at).alias("start"), c["n"].alias("n")))
-            return F.struct((at + F.length(x["run"])).alias("at"), F.concat(s["out"], moved).alias("out"))
-
-        pairs = F.zip_with(r, F.slice(gap, 1, F.size(r)), lambda a, b: F.struct(a.alias("run"), b.alias("gap")))
-        return F.aggregate(pairs, start, step)["out"]
-
-    none = F.array().cast("array<struct<start:int,n:int>>")
-    cut = docs.withColumn(cards, F.when(has & t.rlike(PATTERNS["card"]), cards_of(runs, between)).otherwise(none))
-    c = F.col(cards)
-    ends = F.concat(F.array(F.lit(0)), F.transform(c, lambda x: x["start"] + x["n"]))
-    starts = F.concat(F.transform(c, lambda x: x["start"]), F.array(F.length(t)))
-    parts = F.when(F.size(c) == 0, F.array(t)).otherwise(F.zip_with(ends, starts, lambda a, b: F.substring(t, a + 1, b - a)))
-    cut = cut.withColumn(rest, F.when(has, parts))
-    values = F.transform(F.col(rest), lambda p, i: F.concat(F.regexp_extract_all(p, F.lit(ANY), F.lit(0)), F.when(i < F.size(c), F.array(F.substring(t, F.get(c, i)["start"] + 1, F.get(c, i)["n"]))).otherwise(F.array().cast("array<string>"))))
-    cut = cut.withColumn(found, F.when(has, F.flatten(values)).otherwise(F.array().cast("array<string>"))).withColumn(gaps, F.when(has, F.flatten(F.transform(F.col(rest), lambda p: F.split(p, ANY, -1)))))
-
-    def told(v: Column) -> Column:
-        return let(kind_of(v), lambda kind: F.struct(kind.alias("kind"), v.alias("value"), pseudonym(v, kind, k).alias("pseudonym")))
-
-    cut = cut.withColumn(found, F.transform(F.col(found), told))
-    whole = F.concat(F.concat_ws("", F.zip_with(F.slice(F.col(gaps), 1, F.size(found)), F.col(found), lambda g, m: F.concat(g, m["pseudonym"]))), F.element_at(F.col(gaps), -1))
-    out = cut.withColumn(text, F.when(F.size(found) > 0, whole).otherwise(t))
+            n = F.when((s["skip"] == 0) & x["row"].isNotNull(), _valid_length(x["row"])).otherwise(0)
+
+            def told(n: Column) -> Column:
+                over = s["skip"] + n
+                value = F.when(n > 0, F.substring(x["row"], F.lit(1), n))
+                rest = F.when(over == 0, x["part"]).otherwise(F.substring(x["part"], over + 1, F.length(x["part"])))
+                return F.struct(F.greatest(F.lit(0), over - F.length(x["part"])).alias("skip"), F.concat(s["out"], F.array(F.struct(value.alias("value"), rest.alias("rest")))).alias("out"))
+
+            return let(n, told)
+
+        def chunk(s: Column, k: Column) -> Column:
+            done = F.aggregate(F.slice(c, k * CHUNK + 1, CHUNK), F.struct(s["skip"].alias("skip"), F.array().cast(piece).alias("out")), step)
+            return let(done, lambda d: F.struct(d["skip"].alias("skip"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("skip"), F.array().cast(f"array<{piece}>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / CHUNK).cast("int")), start, chunk)["out"])
+
+    def rows(found: Column) -> Column:
+        def joined(parts: Column) -> Column:
+            head = F.when(F.size(parts) > F.size(found), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+            return F.zip_with(F.concat(head, found), parts, lambda r, p: F.struct(r.alias("row"), p.alias("part")))
+
+        return let(let(F.split(gap, START, -1), joined), cut)
+
+    return F.when(gap.rlike(START), let(F.regexp_extract_all(gap, F.lit(START), F.lit(1)), rows)).otherwise(alone)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", spans: str | None = None) -> DataFrame:
+    """docs with the personal data of its text column replaced; every row and other column stays.
+
+    key: by default that of session_key. spans: the name of a further column, array<struct<kind, value, start,
+    pseudonym>> in order of place (start in code points from 0). A null text stays null, with no spans; an empty or
+    very long one is treated as any other. Repeated rows have the same result. A name in spans that docs has already
+    gets underscores.
+    """
+    t, k = F.col(text), F.lit(session_key(docs.sparkSession) if key is None else key)
+    has = F.coalesce(t.rlike("[0-9]|@") & (t.rlike(ANY) | t.rlike(START)), F.lit(False))
+    name = free_name(docs, "pii_pieces")
+    found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
+
+    def joined(values: Column) -> Column:
+        own = lambda i: F.when(i < F.size(values), F.array(F.struct(F.get(values, i).alias("value"), F.lit("").alias("rest"), F.lit(False).alias("card")))).otherwise(F.array().cast("array<struct<value:string,rest:string,card:boolean>>"))
+        cards = lambda gap: F.transform(_pieces(gap), lambda p: F.struct(p["value"].alias("value"), p["rest"].alias("rest"), F.lit(True).alias("card")))
+        return F.flatten(F.transform(F.split(t, ANY, -1), lambda gap, i: F.concat(cards(gap), own(i))))
+
+    def told(p: Column) -> Column:
+        kind = F.when(p["value"].isNull(), None).when(p["card"], "card").otherwise(kind_of(p["value"]))
+        moved = lambda kind: F.struct(kind.alias("kind"), p["value"].alias("value"), F.when(kind.isNull(), "").otherwise(pseudonym(p["value"], kind, k)).alias("pseudonym"), p["rest"].alias("rest"))
+        return let(kind, moved)
+
+    cut = docs.withColumn(name, F.when(has, F.transform(let(found, joined), told)))
+    pieces = F.col(name)
+    out = cut.withColumn(text, F.when(pieces.isNotNull(), F.array_join(F.transform(pieces, lambda p: F.concat(p["pseudonym"], p["rest"])), "")).otherwise(t))
     if spans:
-        at = lambda i: F.aggregate(F.slice(F.col(gaps), 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(F.col(found), 1, i), F.lit(0), lambda n, m: n + F.length(m["value"]))
-        placed = F.transform(F.col(found), lambda m, i: F.struct(m["kind"].alias("kind"), m["value"].alias("value"), at(i).alias("start"), m["pseudonym"].alias("pseudonym")))
-        out = out.withColumn(free_name(docs, spans), F.filter(placed, lambda m: m["kind"].isNotNull()))
-    return out.drop(found, gaps, cards, rest)
+        lengths = F.transform(pieces, lambda p: F.coalesce(F.length(p["value"]), F.lit(0)) + F.length(p["rest"]))
+        placed = F.zip_with(pieces, running(lengths), lambda p, at: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), at.alias("start"), p["pseudonym"].alias("pseudonym")))
+        none = F.array().cast("array<struct<kind:string,value:string,start:int,pseudonym:string>>")
+        out = out.withColumn(free_name(docs, spans), F.when(pieces.isNotNull(), F.filter(placed, lambda m: m["kind"].isNotNull())).otherwise(none))
+    return out.drop(name)
