@@ -48,7 +48,9 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. Proprietary license. Do not distribute."),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
 )
+#: A token; in the JVM the group is possessive, as repeated groups are matched by recursion otherwise.
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+JVM_TOKEN = TOKEN + "+"
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAMES = "[Ll][Ii][Cc][Ee][Nn][SsCc]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX"
 #: Segments end after a line feed, or at blanks after a full stop.
@@ -91,7 +93,7 @@ def classified(files: DataFrame, least: float = LEAST) -> DataFrame:
     spark = files.sparkSession
     some = files.filter(F.col("text").rlike(NAMES)).select("path", F.xxhash64("text").alias("digest"), F.posexplode(segments(F.col("text"))).alias("no", "segment")).distinct()
     lower = F.translate("segment", CAPITALS, SMALLS)
-    tf = some.select("path", "digest", "no", F.size(F.regexp_extract_all("segment", F.lit(WORD), F.lit(0))).alias("words"), F.explode(F.regexp_extract_all(lower, F.lit(TOKEN), F.lit(0))).alias("token"))
+    tf = some.select("path", "digest", "no", F.size(F.regexp_extract_all("segment", F.lit(WORD), F.lit(0))).alias("words"), F.explode(F.regexp_extract_all(lower, F.lit(JVM_TOKEN), F.lit(0))).alias("token"))
     key = ["path", "digest", "no"]
     tf = tf.groupBy(*key, "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"))
     rows, unknown = weights()
