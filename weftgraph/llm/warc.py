@@ -1,22 +1,28 @@
 """A content-addressed web archive.
 
 Two tables in one folder. `payloads` has every distinct payload once, under its SHA-256; `headers` has a record for
-each page: the exact bytes of its WARC header and the SHA-256 of its payload. Reading joins the two and checks the
-digest and the length that each header names against the bytes. The original of a revisit record comes back by the
-same join, as both name one payload.
+each page: its URL, the exact bytes of its WARC header and of its HTTP header, and the SHA-256 of its payload. Reading
+joins the two. A payload is checked once, as it is stored, and its digest and length are compared with those that each
+header names. The original of a revisit record comes back by the same join, as both name one payload.
 
 A payload is stored from one aggregation by digest, which leaves each task with one row a digest at most, so a
-payload that a third of all pages share is no hot group. Headers are narrow rows.
+payload that a third of all pages share is no hot group. Headers are narrow rows; rows alike in page, URL and payload
+are one counted row until they are written. What the join has to carry is what is asked for: without the payload
+column, no payload is shuffled.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Payloads of at least so many bytes are stored once; further records of them are revisits.
 LEAST_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An extension field: the page's id as it was given.
+PAGE, REFERS = "WARC-Weft-Page", "WARC-Weft-Refers-To-Page"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -26,27 +32,27 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*[part(i) for i in range(8)])), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:weft:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def record_id(page_id: Column, url: Column, sha256: Column, copy: Column) -> Column:
+    """A UUID of a record's page, URL, payload and the number of its copy: the same on every run."""
+    text = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    h = F.md5(F.concat_ws("\n", text(page_id), text(url), F.hex(sha256), copy.cast("string")).cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("3"), part(14, 3)), F.concat(F.lit("8"), part(18, 3)), part(21, 12)), F.lit(">"))
 
 
-def header_bytes(page_id: Column, url: Column, payload_bytes: Column, digest: Column, first: Column, is_response: Column) -> Column:
-    """The header block of a record, with CR LF line ends and the blank line. A null URL leaves its line out."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    clean = F.regexp_replace(url, r"[\r\n]", "")
-    return F.concat_ws(
-        "",
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(is_response, "response").otherwise("revisit")),
-        line("WARC-Record-ID", record_id(page_id)),
-        line("WARC-Target-URI", clean),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        line("WARC-Payload-Length", payload_bytes.cast("string")),
-        F.when(~is_response, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(first)))),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(is_response, payload_bytes).otherwise(F.lit(0)).cast("string")),
-        F.lit("\r\n"),
-    ).cast("binary")
+def _line(name: str, value: Column) -> Column:
+    """A header field; none for a null value."""
+    return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+
+
+def _uri(url: Column) -> Column:
+    """Line ends, which no field can hold, are percent-encoded; the URL itself is kept beside the header."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def http_header(payload_bytes: Column) -> Column:
+    """The header of the HTTP response that a record stands for."""
+    return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), payload_bytes.cast("string"), F.lit("\r\n\r\n")).cast("binary")
 
 
 def header_value(header: Column, name: str) -> Column:
@@ -55,50 +61,69 @@ def header_value(header: Column, name: str) -> Column:
     return F.when(header.cast("string").rlike(rf"(?:\A|\r\n){name}: "), found)
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
+def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str | None = None) -> None:
     """Archive pages (page_id long, url, html; others are left aside) in a folder that isn't there yet.
 
-    A null html is an empty payload. Of equal payloads of at least least_bytes, the record with the smallest page_id
-    is the response and the others revisit it; smaller payloads are all responses. Rows without a page_id come
-    after all others; rows of one page_id and payload are records each, the first of which is any of them.
+    A null html is an empty payload. Of records with equal payloads of at least least_bytes, the one with the smallest
+    page_id is the response (of several, that of the first URL; of rows that are alike, any one) and all others revisit
+    it; smaller payloads are all responses. Rows without a page_id, or a URL, come after those with one. date is the
+    WARC-Date of all records, by default the time of the call.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce("html", F.lit("")).cast("binary")
+    place = F.struct(F.col("page_id").isNull().alias("no_page"), "page_id", F.col("url").isNull().alias("no_url"), "url")
     body = pages.select("page_id", "url", html.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    stored = body.groupBy("sha256").agg(F.min("page_id").alias("first"), F.first("payload").alias("payload"))
+    stored = body.groupBy("sha256").agg(F.min(place).alias("first"), F.first("payload").alias("payload"))
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    spark = pages.sparkSession
-    firsts = spark.read.parquet(f"{path}/payloads").select("sha256", "first")
-    narrow = body.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
-    told = narrow.join(firsts, "sha256")
-    response = (F.col("payload_bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("first"))
-    told.select(header_bytes(F.col("page_id"), F.col("url"), F.col("payload_bytes"), F.col("digest"), F.col("first"), response).alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
+    kept = pages.sparkSession.read.parquet(f"{path}/payloads")
+    # digests of the payload once for each that is stored, not for each page
+    firsts = kept.select("sha256", "first", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
+    narrow = body.select("page_id", "url", "sha256").groupBy("page_id", "url", "sha256").agg(F.count("*").alias("copies"))
+    told = narrow.join(firsts, "sha256").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    first = F.col("first")
+    is_first = (F.col("copy") == 1) & F.col("page_id").eqNullSafe(first["page_id"]) & F.col("url").eqNullSafe(first["url"])
+    told = told.withColumn("response", (F.col("payload_bytes") < least_bytes) | is_first).withColumn("http", http_header(F.col("payload_bytes")))
+    block = F.octet_length("http") + F.when(F.col("response"), F.col("payload_bytes")).otherwise(0)
+    header = F.concat_ws(
+        "",
+        F.lit("WARC/1.1\r\n"),
+        _line("WARC-Type", F.when(F.col("response"), "response").otherwise("revisit")),
+        _line("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("sha256"), F.col("copy"))),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", _uri(F.col("url"))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        F.when(~F.col("response"), F.concat_ws("", _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id(first["page_id"], first["url"], F.col("sha256"), F.lit(1))), _line("WARC-Refers-To-Target-URI", _uri(first["url"])), _line(REFERS, first["page_id"].cast("string")))),
+        _line(PAGE, F.col("page_id").cast("string")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"),
+        _line("Content-Length", block.cast("string")),
+        F.lit("\r\n"),
+    ).cast("binary")
+    told.select(header.alias("header"), "http", "url", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload, sound): every record with its original payload.
+    """(header, http, url, payload, payload_bytes, payload_digest, sound): every record with its original payload.
 
-    sound: the payload's SHA-256 is the key it is stored under, and its SHA-1 and length are those of the header.
+    payload_bytes and payload_digest are those of the stored bytes. sound: the payload's SHA-256 is the key it is
+    stored under, its SHA-1 is that of the WARC header, and its length that of the HTTP header and of the block.
     """
-    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
-    both = headers.join(payloads, "sha256", "left")
-    good = (F.unhex(F.sha2("payload", 256)) == F.col("sha256")) & (F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))) == header_value(F.col("header"), "WARC-Payload-Digest")) & (F.octet_length("payload").cast("string") == header_value(F.col("header"), "WARC-Payload-Length"))
-    return both.select("header", "payload", F.coalesce(good, F.lit(False)).alias("sound"))
+    headers, stored = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    intact = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
+    checked = stored.select("sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), intact.alias("intact"))
+    both = headers.join(checked, "sha256", "left")
+    value = lambda name: header_value(F.col("header"), name)
+    block = F.octet_length("http") + F.when(value("WARC-Type") == "response", F.col("payload_bytes")).otherwise(0)
+    good = F.col("intact") & (F.concat(F.lit("sha1:"), "payload_digest") == value("WARC-Payload-Digest")) & (block.cast("string") == value("Content-Length")) & (F.col("http") == http_header(F.col("payload_bytes")))
+    return both.select("header", "http", "url", "payload", "payload_bytes", "payload_digest", F.coalesce(good, F.lit(False)).alias("sound"))
 
 
-def record_bytes(header: Column, payload: Column) -> Column:
-    """A record as it stands in a WARC file: a revisit has no block."""
-    block = F.when(header_value(header, "WARC-Type") == "response", payload).otherwise(F.lit(b""))
-    return F.concat(header, block, F.lit(b"\r\n\r\n"))
+def record_bytes(header: Column, http: Column, payload: Column) -> Column:
+    """A record as it stands in a WARC file: the block of a revisit ends with the HTTP header."""
+    body = F.when(header_value(header, "WARC-Type") == "response", payload).otherwise(F.lit(b""))
+    return F.concat(header, http, body, F.lit(b"\r\n\r\n"))
 
 
 def described(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, sound), from headers and payloads read back."""
-    page = lambda name: F.try_to_number(F.regexp_extract(header_value(F.col("header"), name), "<urn:weft:page:(-?[0-9]+)>", 1), F.lit("S9999999999999999999")).cast("long")
-    return records.select(
-        page("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
-        header_value(F.col("header"), "WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"),
-        "sound",
-    )
+    value = lambda name: header_value(F.col("header"), name)
+    return records.select(value(PAGE).cast("long").alias("page_id"), "payload_bytes", "payload_digest", value("WARC-Type").alias("record_type"), value(REFERS).cast("long").alias("refers_to"), "sound")
