@@ -105,9 +105,15 @@ class Matcher:
             if w:
                 at = start if head else line.rfind(" ", 0, start)  # a word is known by the blank before it
                 best[at] = max(best.get(at, 0.0), w)
-        for a, b in spared:
-            for at in [x for x in best if a <= x < b]:
-                del best[at]
+        if spared:  # both by place, so one sweep finds the words that start within a phrase
+            spared.sort()
+            k, reach, kept = 0, -1, 0.0
+            for at in sorted(best):
+                while k < len(spared) and spared[k][0] <= at:
+                    reach = max(reach, spared[k][1])
+                    k += 1
+                kept += 0.0 if at < reach else best[at]
+            return kept, len(words)
         return sum(best.values()), len(words)
 
     def score(self, text: str | None) -> float:
@@ -167,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, entries
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = model.matcher()
             for batch in batches:
-                found = [features(*m.weight(t)) for t in batch.column(1).to_pylist()]
+                found = [features(*m.weight(t)) for a, b in S.blocks(batch.column(1)) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], ["toxic", "x1", "x2"])
 
         got = texts.mapInArrow(weigh, "toxic int, x1 double, x2 double").toPandas()  # two numbers for each training row
@@ -206,8 +212,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxici
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.matcher()
         for column in batches:
-            out = np.array([features(*m.weight(t)) for t in column.to_pylist()]).reshape(-1, 2)
-            yield pa.array(logistic(out, model.coefficients), pa.float64())
+            out = [features(*m.weight(t)) for a, b in S.blocks(column) for t in column.slice(a, b - a).to_pylist()]
+            yield pa.array(logistic(np.array(out).reshape(-1, 2), model.coefficients), pa.float64())
 
     return docs.withColumn(into, F.arrow_udf(run, "double")(F.col(text)))
 
