@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _shingles as S
+from ._common import free_name
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("start", "end", "most")
@@ -95,6 +96,7 @@ def count_fields(rows: DataFrame, fields: list[str], separator: str = "\n", voca
     """rows with `<field>_tokens` for each field: the fields are joined by the separator and encoded once as a whole.
 
     A separator belongs to the field before it. A null field is empty: it has no tokens but perhaps its separator's.
+    Every row and column stays; a new column whose name rows has already gets underscores.
     """
     ship(rows.sparkSession)
     gap = separator.encode()
@@ -111,5 +113,6 @@ def count_fields(rows: DataFrame, fields: list[str], separator: str = "\n", voca
             yield pa.array(out, pa.list_(pa.int64()))
 
     counted = F.arrow_udf(run, "array<long>")(F.array(*[F.col(f).cast("string") for f in fields]))
-    told = rows.withColumn("__counts", counted)
-    return told.select(*rows.columns, *[F.col("__counts")[i].alias(f"{f}_tokens") for i, f in enumerate(fields)])
+    name = free_name(rows, "token_counts")
+    told = rows.withColumn(name, counted)
+    return told.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(name)[i].alias(free_name(rows, f"{f}_tokens")) for i, f in enumerate(fields)])
