@@ -329,18 +329,43 @@ def test_fingerprint_algebra():
     assert near[0] > 0.9 > 0.4 > near[1]
 
 
+def hold_edits(spark, got, rows):
+    """Every row against the order as it is defined: ids descending, null last, equal ids by a hash of the text."""
+    mark = dict(spark.createDataFrame([(t,) for t in {r[1] or "" for r in rows}], "t string").select("t", F.xxhash64("t")).collect())
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], mark[r[1] or ""]), reverse=True)
+    want = Counter()
+    for (i, a, *_), (_, b, *_) in zip(order, order[1:] + order[:1], strict=True):
+        a, b = a or "", b or ""
+        n = len(a)
+        edited = a[: n - n // 2] + b[: n // 2]
+        f = fingerprints.Fingerprint([x.encode() for x in (a, edited, b)])
+        near = [1.0 if a == x else min(float(fingerprints.likeness(f.near[[0]], f.near[[k]])[0]), float(np.nextafter(1, 0))) for k, x in ((1, edited), (2, b))]
+        want[(i, n, hashlib.sha256(edited.encode()).hexdigest(), f.text(0), f.text(1), *near)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got) == want
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_fingerprints_of_many_ranges(spark, n, monkeypatch):
+    """Sparse and negative ids, a third of the rows without an id, rows that are alike, ranges of a few rows."""
+    monkeypatch.setattr(fingerprints, "RANGE", 200)
+    r = random.Random(n)
+    rows = [(r.choice([r.randrange(-(1 << 62), 1 << 62), None, 5]), r.choice(["", "é😀 a\n\nb", "x " * r.randint(0, 9), None, f"t{k}"])) for k in range(n)]
+    hold_edits(spark, checked(fingerprints.against_edits(docs_of(spark, rows))), rows)
+
+
+def test_fingerprint_lanes_hold_repeats():
+    t = ["a line\n" * 65536, "", "a line\n" * 32768, "other\n" * 65536, "a\n\nb", "a\nb"]
+    f = fingerprints.Fingerprint([x.encode() for x in t])
+    near = fingerprints.likeness(f.near[[0, 0, 0]], f.near[[1, 2, 3]])
+    assert near[0] == 0 and abs(near[1] - 0.8) < 0.01 and near[2] < 0.5
+    assert f.text(4) != f.text(5) and fingerprints.combine(f.text(5), "") == f.text(4)
+
+
 def test_fingerprints_against_edits(spark, odd):
     rows = [(i, f"text {i} é😀 " * (i % 5) + f"\nline {i // 2}") for i in range(40)] + [(7, None), (None, "last"), (41, "")]
     got = checked(fingerprints.against_edits(docs_of(spark, rows)))
     assert len(got) == len(rows)
-    order = sorted((r for r in rows if r[0] != 7 and r[0] is not None), key=lambda r: -r[0])
-    for a, b in zip(order[:-1], order[1:], strict=True):
-        if b[0] == a[0] - 1:
-            n = len(a[1] or "")
-            want = (a[1] or "")[: n - n // 2] + (b[1] or "")[: n // 2]
-            r = next(x for x in got if x["doc_id"] == a[0])
-            assert r["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest() and r["n_chars"] == n
-            assert r["near_edited"] == 1 or r["fingerprint"] != r["edited_fingerprint"]
+    hold_edits(spark, got, rows)
     one = fingerprints.against_edits(docs_of(spark, [(1, "only")])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(b"onon").hexdigest()
     assert fingerprints.against_edits(docs_of(spark, []).limit(0)).count() == 0

@@ -1,27 +1,30 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A fingerprint is the sum of wide vectors hashed from a text's paragraphs (its lines), each lane modulo a power of
-two. So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its
+A fingerprint is the sum of wide vectors hashed from a text's paragraphs (its lines, empty ones too; an empty text has
+none), each lane modulo a power of two. So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its
 vector: `combine`. Two parts:
 
 * EXACT lanes of 64 bits, uniform, for equality: a BLAKE2b digest of each paragraph.
-* NEAR lanes of 16 bits, for likeness: a paragraph's vector is the sum of +1/-1 vectors of its pieces. A piece ends
+* NEAR lanes of 32 bits, for likeness: a paragraph's vector is the sum of +1/-1 vectors of its pieces. A piece ends
   after a word whose hash is 0 modulo CUT, so pieces follow the content, not the position. The mean square of a lane
   estimates the number of pieces, that of a difference the pieces by which two texts differ (an AMS sketch).
 
 The likeness of two fingerprints is 1 - |a - b|^2 / (|a|^2 + |b|^2), at least 0: near 1 for small edits, about a half
-if half of the pieces are shared, near 0 for texts with nothing in common; exactly 1 for equal ones.
+if half of the pieces are shared, near 0 for texts with nothing in common; exactly 1 for equal ones. A lane wraps around
+after 2^31 repetitions of a piece, so for a text of some 10 GB.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship
@@ -30,8 +33,10 @@ from ._common import partitions
 
 U = np.uint64
 EXACT, NEAR, CUT = 8, 128, 4
-#: Ranges of ids at most; a task sorts what falls into its ranges, spilling if need be.
-RANGES = 2000
+#: Bytes of text for each range of ids at most, about; a task sorts what falls into its ranges, spilling if need be.
+RANGE = 1 << 30
+#: Ids sampled for each range, to place its bounds. The driver holds 16 bytes for each (32 MB for 100 TB of text).
+SAMPLES = 20
 
 
 class Fingerprint:
@@ -40,11 +45,10 @@ class Fingerprint:
     def __init__(self, texts: list[bytes]):
         column = pa.array([t.decode() for t in texts], pa.large_string())
         self.exact = np.zeros((len(texts), EXACT), U)
-        self.near = np.zeros((len(texts), NEAR), np.uint16)
+        self.near = np.zeros((len(texts), NEAR), np.uint32)
         for i, t in enumerate(texts):
-            for line in t.split(b"\n"):
-                if line:
-                    self.exact[i] += np.frombuffer(hashlib.blake2b(line, digest_size=8 * EXACT).digest(), U)
+            for line in t.split(b"\n") if t else []:
+                self.exact[i] += _exact(line)
         for a, b in S.blocks(column):
             self.near[a:b] = _near_lanes(S.words(column, a, b, lower=False))
 
@@ -52,8 +56,12 @@ class Fingerprint:
         return base64.b64encode(self.exact[i].tobytes() + self.near[i].tobytes()).decode()
 
 
+def _exact(line: bytes) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(line, digest_size=8 * EXACT).digest(), U)
+
+
 def _near_lanes(w: S.Words) -> np.ndarray:
-    out = np.zeros((len(w), NEAR), np.uint16)
+    out = np.zeros((len(w), NEAR), np.uint32)
     if not len(w.hash):
         return out
     line = np.concatenate([[0], np.cumsum(w.data == 10)])[w.start]
@@ -70,13 +78,13 @@ def _near_lanes(w: S.Words) -> np.ndarray:
         bits = np.unpackbits(S.mixed(piece + U(k * 0x1234567)).view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         count = np.diff(np.append(starts, len(doc)))
-        out[doc[starts], 64 * k : 64 * k + 64] = (2 * ones - count[:, None]).astype(np.int64).astype(np.uint16)
+        out[doc[starts], 64 * k : 64 * k + 64] = (2 * ones.astype(np.int64) - count[:, None]).astype(np.uint32)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of near lanes, row by row."""
-    square = lambda x: (x.astype(np.int16).astype(np.float64) ** 2).sum(axis=1)
+    square = lambda x: (x.astype(np.int32).astype(np.float64) ** 2).sum(axis=1)
     apart, whole = square(a - b), square(a) + square(b)
     return np.where(apart == 0, 1.0, np.clip(1 - apart / np.maximum(whole, 1), 0, 1))
 
@@ -84,9 +92,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def combine(fingerprint: str, paragraph: str, sign: int = 1) -> str:
     """The fingerprint after a paragraph is inserted (sign 1) or deleted (-1)."""
     raw = base64.b64decode(fingerprint)
-    p = Fingerprint([paragraph.encode()])
-    exact, near = np.frombuffer(raw[: 8 * EXACT], U).copy(), np.frombuffer(raw[8 * EXACT :], np.uint16).copy()
-    exact, near = (exact + p.exact[0], near + p.near[0]) if sign > 0 else (exact - p.exact[0], near - p.near[0])
+    line, lanes = _exact(paragraph.encode()), Fingerprint([paragraph.encode()]).near[0]
+    exact, near = np.frombuffer(raw[: 8 * EXACT], U), np.frombuffer(raw[8 * EXACT :], np.uint32)
+    exact, near = (exact + line, near + lanes) if sign > 0 else (exact - line, near - lanes)
     return base64.b64encode(exact.tobytes() + near.tobytes()).decode()
 
 
@@ -146,27 +154,49 @@ def against_edits(docs: DataFrame) -> DataFrame:
     replaced by the first as many of the next document's; the last document's next is the first. A null id comes
     last; rows of equal id are ordered by a hash of the text. A single row is next to itself. No rows: no rows.
 
-    Ids are cut into ranges at quantiles; each range is sorted within a task, and the first row of the following
-    range is sent along as its halo. So each text is shuffled once, and no task sees more than its ranges.
+    Rows are cut into ranges by id and then text, at quantiles of a sample taken by hash (SAMPLES for a range of RANGE
+    bytes); each range is sorted within a task, and the first row of the following range is sent along as its halo. So
+    each text is shuffled once, and no task sees more than its ranges. Rows alike in id and text are in one range.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = min(4 * partitions(spark), RANGES)
-    cuts = docs.select(F.col("doc_id").cast("double").alias("x")).agg(F.percentile_approx("x", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    low, mark = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text")
-    bucket = F.aggregate(F.lit(cuts).cast("array<long>"), F.lit(0), lambda k, c: k + (low < c).cast("int"))
-    rows = docs.withColumn("bucket", bucket)
+    keyed = docs.withColumns({"low": F.coalesce("doc_id", F.lit(-(1 << 63))), "mark": F.xxhash64("text")})
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(4 * partitions(spark), (size or 0) // RANGE + 1)
+    every = max(1, rows // (SAMPLES * n))
+    sample = keyed.filter(F.pmod(F.xxhash64("low", "mark"), F.lit(every)) == 0).select("low", "mark").toArrow()
+    low, mark = sample["low"].to_numpy(), sample["mark"].to_numpy()
+    order = np.lexsort((mark, low))[::-1]
+    at = order[np.unique(np.arange(1, n) * len(order) // n)] if len(order) else order
+    cuts = list(dict.fromkeys(zip(low[at].tolist(), mark[at].tolist(), strict=True)))
+    # how many cuts lie above a row: first among every `step`-th, then among the next `step`
+    step = max(1, math.isqrt(len(cuts)))
+    key = F.struct(F.col("low").alias("i"), F.col("mark").alias("t"))
+    above = lambda c: F.size(F.filter(c, lambda x: key < x))
+    coarse = above(_table(cuts[step - 1 :: step]))
+    fine = F.get(_tables([cuts[a : a + step] for a in range(0, len(cuts) + 1, step)]), coarse)
+    rows = keyed.withColumn("bucket", (coarse * step + F.coalesce(above(fine), F.lit(0))).cast("int"))
     # the first row of each range that has any, by id and then text
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(low.alias("id"), mark.alias("t"))).alias("head")).orderBy("bucket").collect()
-    every: list = [(None, None, None)] * (len(cuts) + 1)
-    for i, h in enumerate(heads):
-        every[h["bucket"]] = (h["head"]["id"], h["head"]["t"], heads[i - 1]["bucket"])
-    ids, marks, before = (F.lit(list(x)).cast("array<long>")[F.col("bucket")] for x in zip(*every, strict=True))
-    before = F.when((low == ids) & (mark == marks), before.cast("int"))
-    places = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("halo")), F.when(before.isNotNull(), F.struct(before.alias("b"), F.lit(True).alias("halo")))))
-    dealt = rows.select("doc_id", "text", low.alias("low"), F.explode(places).alias("p")).select("doc_id", F.col("p.b").alias("bucket"), F.col("p.halo").alias("halo"), "text", "low")
+    heads = rows.groupBy("bucket").agg(F.max(key).alias("head")).orderBy("bucket").toArrow().to_pylist()
+    first: list = [(0, 0)] * (len(cuts) + 1)
+    before: list = [-1] * (len(cuts) + 1)
+    for k, h in enumerate(heads):
+        first[h["bucket"]] = (h["head"]["i"], h["head"]["t"])
+        before[h["bucket"]] = heads[k - 1]["bucket"]
+    is_head = key == F.get(_table(first), F.col("bucket"))
+    halo = F.when(is_head, F.get(F.from_json(F.lit(json.dumps(before)), "array<int>"), F.col("bucket")))
+    places = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("halo")), F.when(halo >= 0, F.struct(halo.alias("b"), F.lit(True).alias("halo")))))
+    dealt = rows.select("doc_id", "text", "low", "mark", F.explode(places).alias("p")).select("doc_id", F.col("p.b").alias("bucket"), F.col("p.halo").alias("halo"), "text", "low", "mark")
     # within a range the head's halo comes after all its rows
-    dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "halo", F.desc("low"), F.desc(F.xxhash64("text")))
+    dealt = dealt.repartition(max(partitions(spark), (size or 0) // RANGE + 1), "bucket").sortWithinPartitions("bucket", "halo", F.desc("low"), F.desc("mark"))
     return dealt.select("doc_id", "bucket", "halo", "text").mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _table(cuts: list) -> Column:
+    """Keys as a constant array, by way of a text: one literal however many there are."""
+    return F.from_json(F.lit(json.dumps([{"i": i, "t": t} for i, t in cuts])), "array<struct<i:bigint,t:bigint>>")
+
+
+def _tables(cuts: list) -> Column:
+    return F.from_json(F.lit(json.dumps([[{"i": i, "t": t} for i, t in x] for x in cuts])), "array<array<struct<i:bigint,t:bigint>>>")
