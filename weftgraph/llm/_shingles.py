@@ -1,12 +1,13 @@
 """Words and word shingles of Arrow string columns as 64-bit hashes, by whole-array numpy operations.
 
-A text's bytes are hashed by a polynomial modulo 2^64 whose prefix sums give every word's hash at once; shingles are
-combined from the words. A block holds at most BLOCK bytes of text (or one longer text), so memory is bounded by that
+A word is cut into lanes of eight bytes; each lane is mixed with its place and the word's length by a function that is
+far from linear, and the results are added (words of more than LONG bytes: BLAKE2b). Shingles are combined from words. A block holds at most BLOCK bytes of text (or one longer text), so memory is bounded by that
 and by the longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,22 +16,11 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 U = np.uint64
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_STEP = 0xD6E8FEB86659FD93
+#: Bytes of a word beyond which it is hashed by itself.
+LONG = 64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, b, U)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> U(30))
@@ -77,6 +67,27 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of the bytes start .. end of each word."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))  # eight bytes from each place on
+    out = mixed(size.astype(U) + U(0x9E3779B97F4A7C15))
+    every = np.arange(len(size))
+    for k in range(LONG // 8):
+        at = every if k == 0 else np.flatnonzero(size > 8 * k)
+        if not len(at):
+            break
+        lane = lanes[start[at] + 8 * k] & _MASKS[np.minimum(size[at] - 8 * k, 8)]
+        out[at] += mixed(mixed(lane ^ U((k + 1) * 0xA0761D6478BD642F % (1 << 64))) + size[at].astype(U))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), U)[0]
+    return out
+
+
 #: Every ASCII byte but letters and digits.
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -98,10 +109,7 @@ def words(column: pa.Array, a: int = 0, b: int | None = None, lower: bool = True
     after[:-1] = ~ink[1:]
     start = np.flatnonzero(ink & (before | edge[:-1]))
     end = np.flatnonzero(ink & (after | edge[1:])) + 1
-    up, down = _power(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-    h = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    h = word_hashes(data, start, end)
     return Words(data, at, start, end, h, np.searchsorted(start, at))
 
 

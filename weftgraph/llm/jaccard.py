@@ -14,13 +14,20 @@ that link differ in at most (x + y) / 7 shingles, so in at most x / 3 segments o
   of these sizes differ in one shingle at most. Larger bands use value 1 only, as a deletion neighbourhood of a
   segment multiplies its rows.
 * A set also takes part in the next band, if a set there could link with it.
-* Verification. Pairs in a bucket are tested by parity sketches first (each shingle flips one bit; the bits that
-  differ can't exceed the shingles that differ, so no link fails), then exactly, on the sets of 64-bit hashes.
+* Verification. Candidates are tested by parity sketches first (each shingle flips one bit; the bits that differ
+  can't exceed the shingles that differ, so no link fails), then exactly, on the sets of 64-bit hashes.
 
-Large buckets aren't expanded into pairs. First, leaders: each document is paired with the first document of the
-bucket that its sketch is near. Once these pairs are verified, near copies are one component, and only documents of
-different components of a bucket are compared. A frequent signature leaves a task once, with its other documents
-sent past the shuffle's key; exact copies stand for each other. Components come from star contraction.
+What is shuffled for a signature is a row of its hash and a document, so of a text's length; sketches and sets are
+joined to distinct candidate pairs. Buckets of up to SMALL documents are paired in full. In a larger one each document
+is paired with the least one, and once these pairs are verified, most of the bucket is one component. Buckets that hold
+several are gone through again, exactly: each document against the other components of the bucket, of which one
+document stands for all. A document is apart from a whole component if its sketch differs from that one's by more
+than a link allows and the component's radius together (differing bits are a metric). Both sides are dealt in tiles of
+PIECE, so a task never holds a whole bucket. What that costs is the product of documents and components of a bucket;
+documents are paired only with components that stay near.
+
+Signatures that are known to be frequent are dealt by document from the start; exact copies stand for each other.
+Components come from star contraction.
 
 Null or empty texts have an empty set and link with nothing. Rows with equal ids are separate rows; if their texts
 differ, a link of either counts for the id. Rows without an id link with nothing; one that is an exact copy of a row
@@ -44,10 +51,10 @@ from ..operators.components import components
 U = np.uint64
 #: A signature of more documents than this counts as frequent; at most so many are kept apart (8 bytes each).
 OFTEN, FREQUENT = 32, 500_000
-#: Buckets up to this size are compared in full; rows of a bucket handled at once; shuffled bytes for a task.
+#: Buckets up to this size are paired in full; documents or components of a bucket in a tile; shuffled bytes for a task.
 SMALL, PIECE, TASK = 8, 4096, 24 << 20
-#: Documents of a bucket for each part into which the buckets of one leader are dealt.
-SALT = 64
+#: Words of the short sketches that the rows of large buckets carry.
+SHORT = 16
 
 
 def _edge(band: np.ndarray) -> np.ndarray:
@@ -79,6 +86,13 @@ class Sets:
         bits = 2 << max(5, int(len(h)).bit_length())
         return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
+    @staticmethod
+    def short(sketch: bytes) -> bytes:
+        x = np.frombuffer(sketch, U)
+        while len(x) > SHORT:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x.tobytes()
+
     def signatures(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row of each signature, signature, size of the subset) for the sets in rows, by turn for own and next band."""
         own = _band(self.n[rows])
@@ -164,7 +178,7 @@ def _least(sets: Sets, doc: np.ndarray, least: dict) -> np.ndarray:
 
 
 def _describe(size: int):
-    """doc_id, n, digest, sketch; the last row of each stretch also carries the signatures met twice in it."""
+    """doc_id, n, digest, sketches; the last row of each stretch also carries the signatures met twice in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -178,7 +192,7 @@ def _describe(size: int):
         def rows(ids: pa.Array, sets: Sets, often: list) -> pa.RecordBatch:
             sketch = [sets.sketch(i) if sets.n[i] else b"" for i in range(len(sets.n))]
             last = [None] * (len(ids) - 1) + [[{"sig": a, "c": b} for a, b in often] or None]
-            return pa.RecordBatch.from_arrays([ids, pa.array(sets.n, pa.int64()), _signed(sets.d1), _signed(sets.d2), pa.array(sketch, pa.binary()), pa.array(last, pa.list_(pa.struct([("sig", pa.int64()), ("c", pa.int64())])))], ["doc_id", "n", "d1", "d2", "sketch", "often"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(sets.n, pa.int64()), _signed(sets.d1), _signed(sets.d2), pa.array(sketch, pa.binary()), pa.array([Sets.short(x) for x in sketch], pa.binary()), pa.array(last, pa.list_(pa.struct([("sig", pa.int64()), ("c", pa.int64())])))], ["doc_id", "n", "d1", "d2", "sketch", "short", "often"])
 
         held = None
         for batch in batches:
@@ -196,8 +210,8 @@ def _describe(size: int):
 
 
 def _sign(size: int, often):
-    """(sig, doc, direct, twin): taken signatures. A signature's first document in a block goes to its bucket by the
-    signature; the others of the block are direct: known to have a twin, and dealt out by document. Of exact copies
+    """(key, sig, doc, twin): taken signatures. A signature's first document in a block goes to its bucket by the
+    signature; the others of the block, and all of frequent ones, have a twin for certain and are dealt out by document. Of exact copies
     those that come down to the least id are signed; the rows of any but the least are dropped later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +227,7 @@ def _sign(size: int, often):
                 _, first, back, count = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
                 direct = np.ones(len(sig), bool)
                 direct[first] = False
+                direct |= _within(rare, sig)
                 doc = ids[a:b][row]
                 key = np.where(direct, S.mixed(doc.astype(np.int64).view(U) + sig), sig)
                 out = pa.RecordBatch.from_arrays([_signed(key), _signed(sig), pa.array(doc, pa.int64()), pa.array(direct | (count[back] > 1))], ["key", "sig", "doc", "twin"])
@@ -240,14 +255,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sketches:
     """The sketches and sizes of a table's rows; a sketch's length is a power of two words."""
 
-    def __init__(self, t: pa.Table):
-        column = t["sketch"].combine_chunks()
+    def __init__(self, column: pa.ChunkedArray, n: np.ndarray):
+        column = column.combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         _, offsets, data = column.buffers()
         at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         self.start, self.words = at[:-1] // 8, np.diff(at) // 8
         self.data = np.frombuffer(data, U, count=int(at[-1]) // 8)
-        self.n = t["n"].to_numpy()
+        self.n = n
 
     def folded(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
         """Rows whose sketches have so many words, folded on themselves until they have `to`."""
@@ -257,22 +272,30 @@ class Sketches:
             x = x[:, :words] ^ x[:, words:]
         return x
 
-    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs of rows can still link, by size and by the bits that differ."""
-        ok = 4 * np.minimum(self.n[i], self.n[j]) >= 3 * np.maximum(self.n[i], self.n[j])
-        out, left = np.zeros(len(i), bool), np.flatnonzero(ok)
-        kind = self.words[i[left]] * 65536 + self.words[j[left]]
+    def differ(self, other: Sketches) -> np.ndarray:
+        """Bits that differ, row by row, at the length of the shorter sketch."""
+        out = np.zeros(len(self.n), np.int64)
+        kind = self.words * 1_000_000 + other.words
         for k in np.unique(kind):
-            wi, wj = divmod(int(k), 65536)
-            rows = left[kind == k]
-            for a in range(0, len(rows), 20_000):
-                r = rows[a : a + 20_000]
-                to = min(wi, wj)
-                apart = np.bitwise_count(self.folded(i[r], wi, to) ^ self.folded(j[r], wj, to)).sum(axis=1, dtype=np.int64)
-                out[r] = 7 * apart <= self.n[i[r]] + self.n[j[r]]
+            wi, wj = divmod(int(k), 1_000_000)
+            rows, to = np.flatnonzero(kind == k), min(wi, wj)
+            step = max(1, 2_000_000 // max(wi, wj))
+            for a in range(0, len(rows), step):
+                r = rows[a : a + step]
+                out[r] = np.bitwise_count(self.folded(r, wi, to) ^ other.folded(r, wj, to)).sum(axis=1, dtype=np.int64)
         return out
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows that can still link, by size and by the bits that differ."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        x, y = (Sketches(t[f"sketch_{k}"], t[f"n_{k}"].to_numpy()) for k in "ab")
+        ok = 4 * np.minimum(x.n, y.n) >= 3 * np.maximum(x.n, y.n)
+        ok &= 7 * x.differ(y) <= x.n + y.n
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
 class Pairs:
     """Distinct pairs (a, b), a < b, gathered by a task."""
 
@@ -306,85 +329,81 @@ def _runs(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by bucket: all of a small bucket; in a larger one, each row and the first
-    leader that it is near. A bucket longer than PIECE goes on from its leaders alone."""
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each bucket, from rows sorted by bucket."""
     found = Pairs()
     held: pa.Table | None = None
-    led = 0
-
-    def large(x: Sketches, doc: np.ndarray, a: int, b: int, led: int) -> list[int]:
-        leaders, left = list(range(a, a + led)), np.arange(a + led, b)
-        at = 0
-        while len(left):
-            if at == len(leaders):
-                leaders.append(int(left[0]))
-                left = left[1:]
-            near = x.near(np.full(len(left), leaders[at]), left)
-            found.add(np.full(int(near.sum()), doc[leaders[at]]), doc[left[near]])
-            left, at = left[~near], at + 1
-        return leaders
-
-    def runs(t: pa.Table, cuts: np.ndarray, led: int) -> None:
-        x, doc, size = Sketches(t), t["doc"].to_numpy(), np.diff(cuts)
-        small = size <= SMALL
-        if led:
-            small[0] = False
-        for k in range(2, SMALL + 1):
-            at = cuts[:-1][small & (size == k)]
-            if len(at):
-                i, j = np.triu_indices(k, 1)
-                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                ok = x.near(i, j)
-                found.add(doc[i[ok]], doc[j[ok]])
-        for r in np.flatnonzero(~small):
-            large(x, doc, int(cuts[r]), int(cuts[r + 1]), led if r == 0 else 0)
+
+    def runs(t: pa.Table, cuts: np.ndarray) -> None:
+        doc, size = t["doc"].to_numpy(), np.diff(cuts)
+        for k in np.unique(size[size > 1]):
+            at = cuts[:-1][size == k]
+            i, j = np.triu_indices(int(k), 1)
+            found.add(doc[(at[:, None] + i).ravel()], doc[(at[:, None] + j).ravel()])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
         cuts = _runs(t, ["leader", "sig"])
-        whole = cuts[:-1]
-        if len(whole) > 1:
-            runs(t, whole, led)
-            led = 0
-        held = t.slice(int(whole[-1])).combine_chunks()
-        if held.num_rows - led > PIECE:
-            leaders = large(Sketches(held), held["doc"].to_numpy(), 0, held.num_rows, led)
-            held, led = held.take(pa.array(leaders)).combine_chunks(), len(leaders)
+        runs(t, cuts[:-1])
+        held = t.slice(int(cuts[-2])).combine_chunks()
     if held is not None and held.num_rows:
-        runs(held, np.array([0, held.num_rows]), led)
+        runs(held, np.array([0, held.num_rows]))
     yield from found.batches()
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's distance to the document that stands for its component."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        n = t["n"].to_numpy()
+        apart = Sketches(t["short"], n).differ(Sketches(t["pivot"], n))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("component"), batch.column("n"), batch.column("short"), pa.array(apart, pa.int64())], ["doc", "component", "n", "short", "apart"])
+
+
+def _tile(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(signature, document, component) of the documents of tiles that are near another component of the tile."""
+    cuts = _runs(t, ["sig", "pt", "tt"])
+    n = t["n"].to_numpy()
+    x = Sketches(t["short"], n)
+    target, sig, doc, component, c, least, radius, width = (t[k].to_numpy(zero_copy_only=False) for k in ("target", "sig", "doc", "component", "c", "least", "radius", "width"))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        targets, probes = lo + np.flatnonzero(target[lo:hi]), lo + np.flatnonzero(~target[lo:hi])
+        for w in np.unique(x.words[probes]):
+            own = probes[x.words[probes] == w]
+            for v, d in {(int(a), int(b)) for a, b in zip(x.words[targets], width[targets], strict=True)}:
+                other = targets[(x.words[targets] == v) & (width[targets] == d)]
+                to = min(int(w), v, d)
+                far = x.folded(other, v, to)
+                step = max(1, 1_000_000 // (len(other) * to))
+                for a in range(0, len(own), step):
+                    p = own[a : a + step, None]
+                    apart = np.bitwise_count(x.folded(p[:, 0], int(w), to)[:, None, :] ^ far[None, :, :]).sum(axis=2, dtype=np.int32)
+                    ok = 7 * (apart - radius[other]) <= n[p] + np.minimum(n[other], n[p] * 4 // 3)
+                    ok &= (3 * n[p] <= 4 * n[other]) & (3 * least[other] <= 4 * n[p])
+                    ok &= (c[p] < c[other]) | ((c[p] == c[other]) & (component[p] < component[other]))
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        yield sig[p[i, 0]], doc[p[i, 0]], component[other[j]]
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components: each probe of a tile against the tile's targets."""
-    found = Pairs()
+    """_tile for rows sorted by tile."""
     held: pa.Table | None = None
 
-    def runs(t: pa.Table, cuts: np.ndarray) -> None:
-        x = Sketches(t)
-        doc, component, probe = (t[k].to_numpy(zero_copy_only=False) for k in ("doc", "component", "probe"))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            targets, probes = a + np.flatnonzero(~probe[a:b]), a + np.flatnonzero(probe[a:b])
-            step = max(1, 200_000 // max(1, len(targets)))
-            for p in range(0, len(probes), step):
-                i, j = np.repeat(probes[p : p + step], len(targets)), np.tile(targets, len(probes[p : p + step]))
-                apart = component[i] != component[j]
-                i, j = i[apart], j[apart]
-                ok = x.near(i, j)
-                found.add(doc[i[ok]], doc[j[ok]])
+    def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for s, d, c in _tile(t):
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(c)], ["sig", "a", "to"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        cuts = _runs(t, ["sig", "tile"])
-        if len(cuts) > 2:
-            runs(t, cuts[:-1])
-        held = t.slice(int(cuts[-2])).combine_chunks()
+        last = int(_runs(t, ["sig", "pt", "tt"])[-2])
+        if last:
+            yield from told(t.slice(0, last).combine_chunks())
+        held = t.slice(last).combine_chunks()
     if held is not None and held.num_rows:
-        runs(held, np.array([0, held.num_rows]))
-    yield from found.batches()
+        yield from told(held)
 
 
 def _sets(size: int):
@@ -419,6 +438,12 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify(similarity), "a long, b long").distinct()
 
 
+def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the sketches."""
+    of = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id long, text; others are left aside)."""
     spark = docs.sparkSession
@@ -426,29 +451,31 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     ship(spark)
     similarity = 75
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = scratch.table(docs.mapInArrow(_describe(size), "doc_id long, n long, d1 long, d2 long, sketch binary, often array<struct<sig:long,c:long>>"), "sets")
+    told = scratch.table(docs.mapInArrow(_describe(size), "doc_id long, n long, d1 long, d2 long, sketch binary, short binary, often array<struct<sig:long,c:long>>"), "sets")
     listed = told.filter("often is not null").select(F.explode("often").alias("o")).groupBy("o.sig").agg(F.sum("o.c").alias("c")).filter(F.col("c") > OFTEN).orderBy(F.desc("c"), "sig").limit(FREQUENT)
     often = np.sort(np.array([r[0] for r in listed.select("sig").collect()], np.int64).view(U))
     copies = told.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = scratch.table(told.select("doc_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "classes")
-    reps = told.join(classes.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").filter("n > 0").select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc", "n"])
+    ids = classes.filter("doc_id = rep").select("doc_id").distinct()
+    reps = scratch.table(told.join(ids, "doc_id", "left_semi").filter("n > 0").select(F.col("doc_id").alias("doc"), "n", "sketch", "short").dropDuplicates(["doc", "n"]), "reps")
 
     total = told.agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(spark), int(total * 0.45 * 33) // TASK + 1)
     shared = spark.sparkContext.broadcast(often)
     signed = docs.filter("doc_id is not null").mapInArrow(_sign(size, shared), "key long, sig long, doc long, twin boolean")
     rows = scratch.table(signed.repartition(parts, "key").mapInArrow(_shared, "sig long, doc long"), "shared")
-    scratch.keep_only(told, classes, rows)
+    scratch.keep_only(reps, classes, rows)
     rows = rows.join(reps.select("doc").distinct(), "doc", "left_semi")
     by = rows.groupBy("sig").agg(F.min("doc").alias("leader"), F.count("*").alias("k")).filter("k > 1")
     rows = scratch.table(rows.join(by, "sig"), "buckets")
-    scratch.keep_only(told, classes, rows)
+    scratch.keep_only(reps, classes, rows)
 
-    wide = rows.join(reps, "doc")
-    bytes_ = rows.count() * 150
-    many = max(partitions(spark), bytes_ // TASK + 1)
-    dealt = wide.repartition(many, F.col("leader"), F.pmod(F.col("sig"), 1 + F.floor(F.col("k") / SALT))).sortWithinPartitions("leader", "sig", "doc")
-    pairs = scratch.table(dealt.select("leader", "sig", "doc", "n", "sketch").mapInArrow(_lead, "a long, b long").distinct(), "pairs")
+    # a leader's small buckets meet in one task, no more of them than it has signatures
+    many = max(partitions(spark), rows.count() * 40 // TASK + 1)
+    dealt = rows.filter(F.col("k") <= SMALL).repartition(many, "leader").sortWithinPartitions("leader", "sig", "doc")
+    stars = rows.filter((F.col("k") > SMALL) & (F.col("doc") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    pairs = dealt.select("leader", "sig", "doc").mapInArrow(_small, "a long, b long").unionByName(stars).distinct()
+    pairs = scratch.table(_sketched(pairs, reps), "pairs")
 
     # a forest first: one pair a document at most, which joins most near copies
     forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -459,17 +486,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     links = links.unionByName(more)
     where = scratch.table(components(links, scratch), "components")
 
-    large = rows.filter(F.col("k") > SMALL).join(where.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sizes = large.groupBy("sig", "component").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("sig").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("most")).filter("parts > 1")
-    tiles = F.floor(F.col("k") / PIECE) + 1
-    mixed = large.join(most, "sig").withColumn("probe", F.col("component") != F.col("most"))
-    as_target = mixed.select("sig", F.pmod(F.xxhash64("doc"), tiles).alias("tile"), "doc", "component", F.lit(False).alias("probe"))
-    as_probe = mixed.filter("probe").select("sig", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), "doc", "component", "probe")
-    dealt = as_target.unionByName(as_probe).join(reps, "doc").repartition(many, "sig", "tile").sortWithinPartitions("sig", "tile")
-    crossed = dealt.select("sig", "tile", "doc", "component", "probe", "n", "sketch").mapInArrow(_cross, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    crossed = scratch.table(crossed, "crossed")
-    if crossed.limit(1).count():
+    crossed = _crossing(rows.filter(F.col("k") > SMALL), where, reps, many, scratch)
+    if crossed is not None:
+        crossed = scratch.table(_sketched(crossed.join(pairs, ["a", "b"], "left_anti"), reps), "crossed")
         more = scratch.table(verified(docs, crossed, size, similarity), "links")
         if more.limit(1).count():
             where = scratch.table(components(links.unionByName(more), scratch), "components")
@@ -479,6 +498,33 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     return out
 
 
+def _crossing(large: DataFrame, where: DataFrame, reps: DataFrame, many: int, scratch: Scratch) -> DataFrame | None:
+    """Candidate pairs (a, b) of large buckets (sig, doc, k) that hold several components; None if no bucket does."""
+    large = large.join(where.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = large.groupBy("sig", "component").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("sig").agg(F.count("*").alias("parts")).filter("parts > 1")
+    mixed = scratch.table(large.join(several, "sig").select("sig", "doc", "k", "component", "parts"), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    short = reps.select("doc", "n", "short")
+    pivots = short.select(F.col("doc").alias("component"), F.col("short").alias("pivot"))
+    members = mixed.select("doc", "component").distinct().join(short, "doc").join(pivots, "component").select("doc", "component", "n", "short", "pivot")
+    members = scratch.table(members.mapInArrow(_spread, "doc long, component long, n long, short binary, apart long"), "members")
+    whole = members.groupBy("component").agg(F.max("apart").alias("radius"), F.min("n").alias("least"), F.max("n").alias("n"), (F.min(F.octet_length("short")) / 8).cast("long").alias("width")).join(pivots, "component")
+    counts = mixed.groupBy("sig", "component", "k", "parts").agg(F.count("*").alias("c"))
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.floor(F.col(n) / PIECE) + 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(n) / PIECE)))
+    columns = ["sig", "pt", "tt", "target", "doc", "component", "c", "n", "least", "radius", "width", "short"]
+    targets = counts.join(whole, "component").withColumnsRenamed({"pivot": "short"}).withColumns({"tt": tile("component", "parts"), "pt": every("k"), "target": F.lit(True), "doc": F.col("component")})
+    probes = mixed.join(counts.select("sig", "component", "c"), ["sig", "component"]).join(members.select("doc", "n", "short"), "doc")
+    probes = probes.withColumns({"pt": tile("doc", "k"), "tt": every("parts"), "target": F.lit(False), "least": F.col("n"), "radius": F.lit(0).cast("long"), "width": F.lit(0).cast("long")})
+    dealt = targets.select(columns).unionByName(probes.select(columns)).repartition(many, "sig", "pt", "tt").sortWithinPartitions("sig", "pt", "tt")
+    close = dealt.mapInArrow(_cross, "sig long, a long, to long")
+    own = mixed.select("sig", F.col("component").alias("to"), F.col("doc").alias("b"))
+    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return close.join(own, ["sig", "to"]).select(pair.alias("p")).select("p.*").distinct()
+
+
 def _between(pairs: DataFrame, where: DataFrame) -> DataFrame:
     """The pairs of different components."""
     of = lambda c: where.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
