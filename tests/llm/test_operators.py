@@ -410,7 +410,14 @@ def test_leaks(spark):
     kept = decontaminate.without_leaks(d, bench)
     assert kept.columns == d.columns and sorted(x["doc_id"] for x in kept.collect()) == [3, 4, 5, 6]
     assert decontaminate.leaks(d, bench.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), bench).count() == 0
-    assert len(decontaminate.indexes(d, bench, block=200)) > 1
+    assert len(list(decontaminate.indexes(d, bench, block=200))) > 1
+    for blocks in (0, 100):  # as a table, and block by block
+        again = checked(decontaminate.leaks(d, bench, block=200, blocks=blocks))
+        assert Counter(map(str, again)) == Counter(map(str, got))
+        left = decontaminate.without_leaks(d, bench, block=200, blocks=blocks)
+        assert left.columns == d.columns and sorted(x["doc_id"] for x in left.collect()) == [3, 4, 5, 6]
+    named = bench.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text")
+    assert {x["item_id"] for x in checked(decontaminate.leaks(d, named))} == {x["item_id"] for x in checked(decontaminate.leaks(d, named, blocks=0))} == {"i0", "i1", "i2"}
 
 
 def test_leaks_of_edited_copies(spark):
@@ -421,8 +428,9 @@ def test_leaks_of_edited_copies(spark):
     noise = lambda n: [f"n{r.randrange(500)}" for _ in range(n)]
     rows = [(i, " ".join(noise(60) + [f"z{k}" if k % e == e - 1 else x for k, x in enumerate(t)] + noise(60))) for i, (t, e) in enumerate(zip(items, every, strict=True))]
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
-    got = {(x["doc_id"], x["item_id"]) for x in checked(decontaminate.leaks(docs_of(spark, rows), bench))}
-    assert got == {(i, i) for i in range(len(items))}
+    for blocks in (4, 0):
+        got = {(x["doc_id"], x["item_id"]) for x in checked(decontaminate.leaks(docs_of(spark, rows), bench, blocks=blocks))}
+        assert got == {(i, i) for i in range(len(items))}
 
 
 def test_leak_seeds_lose_nothing():
@@ -441,6 +449,22 @@ def test_leak_seeds_lose_nothing():
     assert got == want
 
 
+def test_leaks_against_all_alignments(spark):
+    """The query's path and the join of a table, end to end, against the alignment of every item with every text."""
+    r = random.Random(7)
+    items = [[f"w{r.randrange(25)}" for _ in range(r.randint(4, 14))] for _ in range(25)]
+    rows = []
+    for i in range(120):
+        t = [x for x in r.choice(items) for x in ([x] if r.random() < 0.8 else r.choice([[], ["w1"], [x, "w2"]]))]
+        rows.append((i, " ".join([f"w{r.randrange(25)}" for _ in range(r.randint(0, 20))] + t + [f"w{r.randrange(25)}" for _ in range(r.randint(0, 20))])))
+    rows += [rows[0], (500, None), (501, "")]
+    number = lambda words: np.array([int(x[1:]) for x in words])
+    want = Counter((i, k, s) for i, t in rows if t for k, item in enumerate(items) if (s := decontaminate.align(number(item), number(t.split()))[0] / (2 * len(item))) >= 0.5)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    for blocks in (4, 0):
+        assert Counter((x["doc_id"], x["item_id"], x["score"]) for x in checked(decontaminate.leaks(docs_of(spark, rows), bench, blocks=blocks))) == want
+
+
 # mixing
 
 
