@@ -172,30 +172,56 @@ _PR = ", o AS (SELECT idx, coalesce(sum(w::DOUBLE), 0) AS o FROM V LEFT JOIN E O
 _add("page_rank", lambda g: algorithms.page_rank(g, tol=0.0, max_iter=5).select("idx", F.round("rank", 8).alias("rank")), f"{_PR} SELECT idx, round(x, 8) AS rank FROM r5")
 _add("katz", lambda g: algorithms.katz_centrality(g, 0.0001, 1.0, 0.0, 3, normalized=False).select("idx", F.round("score", 6).alias("score")), ", k0 AS (SELECT idx, 0.0::DOUBLE AS x FROM V)" + "".join(f", k{i + 1} AS (SELECT V.idx, 1 + 0.0001 * coalesce(sum(w::DOUBLE * x), 0) AS x FROM V LEFT JOIN E ON dst = V.idx LEFT JOIN k{i} ON src = k{i}.idx GROUP BY V.idx)" for i in range(3)) + " SELECT idx, round(x, 6) AS score FROM k3")
 _add("hits", lambda g: algorithms.hits(g, 0.0, 2).select("idx", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority")), ", h0 AS (SELECT idx, 1.0::DOUBLE / (SELECT count(*) FROM V) AS h FROM V)" + "".join(f", a{i} AS (SELECT dst AS idx, sum(w::DOUBLE * h) AS a FROM E JOIN h{i} ON src = idx GROUP BY dst), b{i} AS (SELECT idx, a / (SELECT sum(a) FROM a{i}) AS a FROM a{i}), g{i} AS (SELECT src AS idx, sum(w::DOUBLE * a) AS h FROM E JOIN b{i} ON dst = idx GROUP BY src), h{i + 1} AS (SELECT idx, h / (SELECT sum(h) FROM g{i}) AS h FROM g{i})" for i in range(2)) + " SELECT V.idx, round(coalesce(h, 0), 8) AS hub, round(coalesce(a, 0), 8) AS authority FROM V LEFT JOIN h2 USING (idx) LEFT JOIN b1 USING (idx)")
-_add("eigenvector", lambda g: algorithms.eigenvector_centrality(g).select("idx", F.round("score", 6).alias("score")), graph="undirected")
-_add("personalized_page_rank", lambda g: algorithms.personalized_page_rank(g, g.nodes.filter("idx < 3").select("idx", F.lit(1.0).alias("p"))).select("idx", F.round("rank", 8).alias("rank")))
-
-
 def _recursive(name: str, run, sql: str, graph: str = "directed") -> None:
     _add(name, run, sql, graph)
     SQL[name] = SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-_LARGE = "w > 99"  # few enough edges for several components
-_recursive("connected_components", lambda g: components.connected_components(g.nodes, g.edges.filter(_LARGE)), f", f AS (SELECT src AS a, dst AS b FROM E WHERE {_LARGE} UNION SELECT dst, src FROM E WHERE {_LARGE}), r AS (SELECT idx AS x, idx AS y FROM V UNION SELECT r.x, f.b FROM r JOIN f ON r.y = f.a), m AS (SELECT x AS idx, min(y) AS c FROM r GROUP BY x) SELECT idx, dense_rank() OVER (ORDER BY c) - 1 AS component FROM m")
-_add("connected_components_all", lambda g: components.connected_components(g.nodes, g.edges))  # over every edge; the recursive SQL is too slow for it
 _recursive("breadth_first_search", lambda g: algorithms.breadth_first_search(g, g.nodes.filter("idx = 0").select("idx")).select("idx", "depth"), ", f AS (SELECT DISTINCT src, dst FROM E), r AS (SELECT 0::BIGINT AS idx, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN f ON src = idx WHERE depth < 6) SELECT idx, min(depth) AS depth FROM r GROUP BY idx")
 _recursive("sssp", lambda g: algorithms.sssp(g.with_(edges=g.edges.withColumn("w", F.round("w").cast("float"))), 0).select("idx", "distance"), ", f AS (SELECT src, dst, min(round(w)::DOUBLE) AS w FROM E GROUP BY src, dst), r AS (SELECT 0::BIGINT AS idx, 0.0::DOUBLE AS d, 0 AS k UNION SELECT idx, min(d), k FROM (SELECT f.dst AS idx, r.d + f.w AS d, k + 1 AS k FROM r JOIN f ON f.src = r.idx WHERE k < 12) GROUP BY idx, k) SELECT idx, min(d) AS distance FROM r GROUP BY idx")
 _add("triangle_count", algorithms.triangle_count, ", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM E WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b) SELECT idx, count(n) AS triangles FROM V LEFT JOIN (SELECT a AS n FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) ON n = idx GROUP BY idx", "undirected")
-_add("k_core", algorithms.k_core, graph="undirected")
-_add("minimum_spanning_tree", algorithms.minimum_spanning_tree, graph="undirected")
-_add("label_propagation", algorithms.label_propagation, graph="undirected")
+
+def _steps(name: str, first: str, step: str, n: int) -> str:
+    """Tables name0 .. name<n>, each made of the one before, which step calls {x}."""
+    return f", {name}0 AS MATERIALIZED ({first})" + "".join(f", {name}{i + 1} AS MATERIALIZED ({step.format(x=f'{name}{i}')})" for i in range(n))
+
+
+def _distances(arcs: str) -> str:
+    """d6 (s, t, d): least distances over up to 64 arcs."""
+    return _steps("d", f"SELECT s, t, min(d) AS d FROM (SELECT src AS s, dst AS t, w::DOUBLE AS d FROM {arcs} UNION ALL SELECT idx, idx, 0 FROM V) GROUP BY s, t", "SELECT a.s, b.t, min(a.d + b.d) AS d FROM {x} a JOIN {x} b ON a.t = b.s GROUP BY a.s, b.t", 6)
+
+
+_add("eigenvector", lambda g: algorithms.eigenvector_centrality(g, tol=1e-12).select("idx", F.round("score", 6).alias("score")),
+     _steps("x", "SELECT idx, 1.0::DOUBLE / (SELECT count(*) FROM V) AS v FROM V", "SELECT idx, v / sqrt(sum(v * v) OVER ()) AS v FROM (SELECT idx, any_value({x}.v) + coalesce(sum(w::DOUBLE * o.v), 0) AS v FROM {x} LEFT JOIN (SELECT dst, w, v FROM H JOIN {x} ON src = idx) o ON dst = idx GROUP BY idx)", 40) + " SELECT idx, round(v, 6) AS score FROM x40", "undirected")
+_add("personalized_page_rank", lambda g: algorithms.personalized_page_rank(g, g.nodes.filter("idx < 3").select("idx", F.lit(1.0).alias("p")), tol=1e-13).select("idx", F.round("rank", 8).alias("rank")),
+     ", o AS (SELECT idx, coalesce(sum(w::DOUBLE), 0) AS o, CASE WHEN idx < 3 THEN 1.0::DOUBLE / 3 ELSE 0 END AS p FROM V LEFT JOIN E ON src = idx GROUP BY idx)"
+     + _steps("r", "SELECT idx, 1.0::DOUBLE / (SELECT count(*) FROM V) AS x FROM V", "SELECT o.idx, 0.15 * p + 0.85 * ((SELECT coalesce(sum(x), 0) FROM {x} JOIN o USING (idx) WHERE o = 0) * p + coalesce(y, 0)) AS x FROM o LEFT JOIN (SELECT dst AS idx, sum(w::DOUBLE * x / o) AS y FROM E JOIN {x} ON src = {x}.idx JOIN o ON o.idx = src GROUP BY dst) USING (idx)", 60)
+     + " SELECT idx, round(x, 8) AS rank FROM r60")
+_add("connected_components", lambda g: components.connected_components(g.nodes, g.edges),
+     _steps("c", "SELECT idx, idx AS c FROM V", "SELECT idx, min(c) AS c FROM (SELECT idx, c FROM {x} UNION ALL SELECT dst, c FROM H JOIN {x} ON src = idx) GROUP BY idx", 12) + " SELECT idx, dense_rank() OVER (ORDER BY c) - 1 AS component FROM c12", "undirected")
+_add("k_core", algorithms.k_core,
+     ", p AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM H WHERE src <> dst)"
+     + _steps("h", "SELECT idx, count(b) AS c FROM V LEFT JOIN p ON a = idx GROUP BY idx", "SELECT V.idx, coalesce(x, 0) AS c FROM V LEFT JOIN (SELECT a, max(least(c, r)) AS x FROM (SELECT a, c, row_number() OVER (PARTITION BY a ORDER BY c DESC) AS r FROM p JOIN {x} ON b = idx) GROUP BY a) ON a = V.idx", 40)
+     + " SELECT idx, c::INT AS core FROM h40", "undirected")
+_add("minimum_spanning_tree", algorithms.minimum_spanning_tree,
+     ", k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY coalesce(w::DOUBLE, 1), e) AS k FROM E WHERE src <> dst)"
+     + _steps("m", "SELECT s, t, min(k) AS k FROM (SELECT src AS s, dst AS t, k FROM k UNION ALL SELECT dst, src, k FROM k UNION ALL SELECT idx, idx, 0 FROM V) GROUP BY s, t", "SELECT a.s, b.t, min(greatest(a.k, b.k)) AS k FROM {x} a JOIN {x} b ON a.t = b.s GROUP BY a.s, b.t", 8)
+     + " SELECT e FROM k JOIN m8 ON s = src AND t = dst AND m8.k = k.k", "undirected")
+_add("label_propagation", algorithms.label_propagation,
+     ", p AS MATERIALIZED (SELECT src AS a, dst AS b, sum(w::DOUBLE) AS w FROM H WHERE src <> dst GROUP BY src, dst)"
+     + _steps("l", "SELECT idx, idx AS label FROM V", "SELECT idx, coalesce(n, label) AS label FROM {x} LEFT JOIN (SELECT a, label AS n FROM (SELECT a, label, sum(w) AS v FROM p JOIN {x} ON b = idx GROUP BY a, label) QUALIFY row_number() OVER (PARTITION BY a ORDER BY v DESC, label) = 1) ON a = idx", 10)
+     + " SELECT idx, dense_rank() OVER (ORDER BY f) - 1 AS label FROM (SELECT idx, min(idx) OVER (PARTITION BY label) AS f FROM l10)", "undirected")
 _add("louvain", algorithms.louvain, graph="undirected")
-_add("bellman_ford", lambda g: algorithms.bellman_ford(g, 0)[0].select("idx", F.round("distance", 4).alias("distance")))
-_add("closeness", algorithms.closeness_centrality, graph="undirected")
-_add("betweenness", algorithms.betweenness_centrality, graph="undirected")
-_add("edge_betweenness", algorithms.edge_betweenness, graph="undirected")
-_add("all_pairs", lambda g: algorithms.all_pairs_shortest_paths(g).select("src", "dst", F.round("distance", 4).alias("distance")), graph="undirected")
+_add("bellman_ford", lambda g: algorithms.bellman_ford(g, 0)[0].select("idx", F.round("distance", 4).alias("distance")), _distances("E") + " SELECT t AS idx, round(d, 4) AS distance FROM d6 WHERE s = 0")
+_add("all_pairs", lambda g: algorithms.all_pairs_shortest_paths(g).select("src", "dst", F.round("distance", 4).alias("distance")), _distances("H") + " SELECT s AS src, t AS dst, round(d, 4) AS distance FROM d6", "undirected")
+_add("closeness", lambda g: _rounded(algorithms.closeness_centrality(g), "closeness", "harmonic"),
+     _distances("H") + " SELECT idx, round(coalesce(k / s * k / ((SELECT count(*) FROM V) - 1), 0), 4) AS closeness, round(coalesce(h, 0), 4) AS harmonic FROM V LEFT JOIN (SELECT s AS idx, count(*)::DOUBLE AS k, sum(d) AS s, sum(1 / nullif(d, 0)) AS h FROM d6 WHERE s <> t GROUP BY d6.s) USING (idx)", "undirected")
+#: n (s, t, n): least paths, from those of each number of arcs.
+_COUNTED = _distances("H") + ", a AS MATERIALIZED (SELECT x.s, h.src AS u, h.dst AS t, count(*) AS k FROM H h JOIN d6 x ON x.t = h.src JOIN d6 y ON y.s = x.s AND y.t = h.dst WHERE h.src <> h.dst AND abs(x.d + h.w - y.d) < 1e-9 GROUP BY ALL)" + _steps("q", "SELECT idx AS s, idx AS t, 1.0::DOUBLE AS n FROM V", "SELECT a.s, a.t, sum(k * n) AS n FROM a JOIN {x} ON {x}.s = a.s AND {x}.t = a.u GROUP BY a.s, a.t", 24) + ", n AS MATERIALIZED (SELECT s, t, sum(n) AS n, any_value(d) AS d FROM (" + " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(25)) + ") JOIN d6 USING (s, t) GROUP BY s, t)"
+_add("betweenness", lambda g: _rounded(algorithms.betweenness_centrality(g), "betweenness"),
+     _COUNTED + " SELECT idx, round(coalesce(sum(b), 0) / 2, 4) AS betweenness FROM V LEFT JOIN (SELECT x.t AS v, x.n * y.n / z.n AS b FROM n x JOIN n y ON x.t = y.s JOIN n z ON z.s = x.s AND z.t = y.t WHERE x.s <> x.t AND y.s <> y.t AND x.s <> y.t AND abs(x.d + y.d - z.d) < 1e-9) ON v = idx GROUP BY idx", "undirected")
+_add("edge_betweenness", lambda g: _rounded(algorithms.edge_betweenness(g), "betweenness"),
+     _COUNTED + " SELECT E.e, round(coalesce(sum(b), 0) / 2, 4) AS betweenness FROM E LEFT JOIN (SELECT h.e, x.n * y.n / z.n AS b FROM H h JOIN n o ON o.s = h.src AND o.t = h.dst AND h.src <> h.dst AND abs(o.d - h.w) < 1e-9 JOIN n x ON x.t = h.src JOIN n y ON y.s = h.dst JOIN n z ON z.s = x.s AND z.t = y.t WHERE abs(x.d + h.w + y.d - z.d) < 1e-9) f ON f.e = E.e GROUP BY E.e", "undirected")
 _add("force_atlas2", lambda g: layout.ForceAtlas2(iterations=3).load(g).run(), graph="undirected")
 _add("fruchterman_reingold", lambda g: layout.fruchterman_reingold(g, iterations=3), graph="undirected")
 
