@@ -20,11 +20,11 @@ that link differ in at most (x + y) / 7 shingles, so in at most x / 3 segments o
 What is shuffled for a signature is a row of its hash and a document, so of a text's length; sketches and sets are
 joined to distinct candidate pairs. Buckets of up to SMALL documents are paired in full. In a larger one each document
 is paired with the least one, and once these pairs are verified, most of the bucket is one component. Buckets that hold
-several are gone through again, exactly: each document against the other components of the bucket, of which one
-document stands for all. A document is apart from a whole component if its sketch differs from that one's by more
-than a link allows and the component's radius together (differing bits are a metric). Both sides are dealt in tiles of
-PIECE, so a task never holds a whole bucket. What that costs is the product of documents and components of a bucket;
-documents are paired only with components that stay near.
+several are gone through again, exactly, in tiles of PIECE documents by PIECE, so a task never holds a whole bucket: each
+document against those of the other components. Within a tile one document stands for its component: another is apart
+from all of it if their sketches differ by more than a link allows and the component's radius together (differing bits
+are a metric). What that costs is the product of documents and components of a bucket; documents are compared one by
+one only where components stay near, and only pairs whose sketches are near leave the task.
 
 Signatures that are known to be frequent are dealt by document from the start; exact copies stand for each other.
 Components come from star contraction.
@@ -52,7 +52,7 @@ U = np.uint64
 #: A signature of more documents than this counts as frequent; at most so many are kept apart (8 bytes each).
 OFTEN, FREQUENT = 32, 500_000
 #: Buckets up to this size are paired in full; documents or components of a bucket in a tile; shuffled bytes for a task.
-SMALL, PIECE, TASK = 8, 4096, 24 << 20
+SMALL, PIECE, TASK = 8, 1024, 24 << 20
 #: Words of the short sketches that the rows of large buckets carry.
 SHORT = 16
 
@@ -279,7 +279,7 @@ class Sketches:
         for k in np.unique(kind):
             wi, wj = divmod(int(k), 1_000_000)
             rows, to = np.flatnonzero(kind == k), min(wi, wj)
-            step = max(1, 2_000_000 // max(wi, wj))
+            step = max(1, 200_000 // max(wi, wj))
             for a in range(0, len(rows), step):
                 r = rows[a : a + step]
                 out[r] = np.bitwise_count(self.folded(r, wi, to) ^ other.folded(r, wj, to)).sum(axis=1, dtype=np.int64)
@@ -352,58 +352,75 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.batches()
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member's distance to the document that stands for its component."""
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        n = t["n"].to_numpy()
-        apart = Sketches(t["short"], n).differ(Sketches(t["pivot"], n))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("component"), batch.column("n"), batch.column("short"), pa.array(apart, pa.int64())], ["doc", "component", "n", "short", "apart"])
-
-
-def _tile(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(signature, document, component) of the documents of tiles that are near another component of the tile."""
-    cuts = _runs(t, ["sig", "pt", "tt"])
-    n = t["n"].to_numpy()
-    x = Sketches(t["short"], n)
-    target, sig, doc, component, c, least, radius, width = (t[k].to_numpy(zero_copy_only=False) for k in ("target", "sig", "doc", "component", "c", "least", "radius", "width"))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        targets, probes = lo + np.flatnonzero(target[lo:hi]), lo + np.flatnonzero(~target[lo:hi])
-        for w in np.unique(x.words[probes]):
-            own = probes[x.words[probes] == w]
-            for v, d in {(int(a), int(b)) for a, b in zip(x.words[targets], width[targets], strict=True)}:
-                other = targets[(x.words[targets] == v) & (width[targets] == d)]
-                to = min(int(w), v, d)
-                far = x.folded(other, v, to)
-                step = max(1, 1_000_000 // (len(other) * to))
-                for a in range(0, len(own), step):
-                    p = own[a : a + step, None]
-                    apart = np.bitwise_count(x.folded(p[:, 0], int(w), to)[:, None, :] ^ far[None, :, :]).sum(axis=2, dtype=np.int32)
-                    ok = 7 * (apart - radius[other]) <= n[p] + np.minimum(n[other], n[p] * 4 // 3)
-                    ok &= (3 * n[p] <= 4 * n[other]) & (3 * least[other] <= 4 * n[p])
-                    ok &= (c[p] < c[other]) | ((c[p] == c[other]) & (component[p] < component[other]))
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        yield sig[p[i, 0]], doc[p[i, 0]], component[other[j]]
+def _close(x: Sketches, p: np.ndarray, q: np.ndarray, more: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in p and q of the rows that can link, where row q stands for rows of sizes least to most that differ
+    from it by `more` bits at most."""
+    out = []
+    for w in np.unique(x.words[p]):
+        own = np.flatnonzero(x.words[p] == w)
+        for v in np.unique(x.words[q]):
+            to = min(int(w), int(v))
+            other = np.flatnonzero(x.words[q] == v)
+            far = x.folded(q[other], int(v), to)
+            step = max(1, 500_000 // (len(other) * to))
+            for a in range(0, len(own), step):
+                part = own[a : a + step]
+                n = x.n[p[part]][:, None]
+                apart = np.bitwise_count(x.folded(p[part], int(w), to)[:, None, :] ^ far[None, :, :]).sum(axis=2, dtype=np.int32)
+                ok = 7 * (apart - more[other]) <= n + np.minimum(most[other], n * 4 // 3)
+                i, j = np.nonzero(ok & (3 * n <= 4 * most[other]) & (3 * least[other] <= 4 * n))
+                out.append((part[i], other[j]))
+    return tuple(np.concatenate(k) for k in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _tile(x: Sketches, doc: np.ndarray, component: np.ndarray, c: np.ndarray, targets: np.ndarray, probes: np.ndarray, found: Pairs) -> None:
+    """The near pairs of a tile's probes with its targets of other components, of which the larger one is the target's."""
+    if not len(targets) or not len(probes):
+        return
+    # members with sketches of one length, as only these have distances to each other that hold at any length
+    targets = targets[np.lexsort((doc[targets], x.words[targets], component[targets]))]
+    kind = np.stack([component[targets], x.words[targets]])
+    first = np.concatenate([[0], np.flatnonzero((kind[:, 1:] != kind[:, :-1]).any(axis=0)) + 1])
+    size = np.diff(np.append(first, len(targets)))
+    pivot = targets[first]
+    apart = np.zeros(len(targets), np.int64)
+    for w in np.unique(x.words[targets]):
+        at = np.flatnonzero(x.words[targets] == w)
+        stands = np.repeat(pivot, size)[at]
+        apart[at] = np.bitwise_count(x.folded(targets[at], int(w), int(w)) ^ x.folded(stands, int(w), int(w))).sum(axis=1, dtype=np.int64)
+    radius, least, most = np.maximum.reduceat(apart, first), np.minimum.reduceat(x.n[targets], first), np.maximum.reduceat(x.n[targets], first)
+    i, j = _close(x, probes, pivot, radius, least, most)
+    p, q = probes[i], pivot[j]
+    turn = (component[p] != component[q]) & ((c[p] < c[q]) | ((c[p] == c[q]) & (component[p] < component[q])))
+    i, j = i[turn], j[turn]
+    for k in np.unique(j):
+        rows, own = targets[first[k] : first[k] + size[k]], probes[i[j == k]]
+        a, b = _close(x, own, rows, np.zeros(len(rows), np.int64), x.n[rows], x.n[rows])
+        found.add(doc[own[a]], doc[rows[b]])
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_tile for rows sorted by tile."""
     held: pa.Table | None = None
+    found = Pairs()
 
-    def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for s, d, c in _tile(t):
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(c)], ["sig", "a", "to"])
+    def runs(t: pa.Table) -> None:
+        x = Sketches(t["short"], t["n"].to_numpy())
+        target, doc, component, c = (t[k].to_numpy(zero_copy_only=False) for k in ("target", "doc", "component", "c"))
+        cuts = _runs(t, ["sig", "pt", "tt"])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            _tile(x, doc, component, c, lo + np.flatnonzero(target[lo:hi]), lo + np.flatnonzero(~target[lo:hi]), found)
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
         last = int(_runs(t, ["sig", "pt", "tt"])[-2])
         if last:
-            yield from told(t.slice(0, last).combine_chunks())
+            runs(t.slice(0, last).combine_chunks())
         held = t.slice(last).combine_chunks()
     if held is not None and held.num_rows:
-        yield from told(held)
+        runs(held)
+    yield from found.batches()
 
 
 def _sets(size: int):
@@ -503,26 +520,19 @@ def _crossing(large: DataFrame, where: DataFrame, reps: DataFrame, many: int, sc
     large = large.join(where.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sizes = large.groupBy("sig", "component").agg(F.count("*").alias("c"))
     several = sizes.groupBy("sig").agg(F.count("*").alias("parts")).filter("parts > 1")
-    mixed = scratch.table(large.join(several, "sig").select("sig", "doc", "k", "component", "parts"), "mixed")
+    mixed = scratch.table(large.join(several, "sig").select("sig", "doc", "k", "component"), "mixed")
     if not mixed.limit(1).count():
         return None
-    short = reps.select("doc", "n", "short")
-    pivots = short.select(F.col("doc").alias("component"), F.col("short").alias("pivot"))
-    members = mixed.select("doc", "component").distinct().join(short, "doc").join(pivots, "component").select("doc", "component", "n", "short", "pivot")
-    members = scratch.table(members.mapInArrow(_spread, "doc long, component long, n long, short binary, apart long"), "members")
-    whole = members.groupBy("component").agg(F.max("apart").alias("radius"), F.min("n").alias("least"), F.max("n").alias("n"), (F.min(F.octet_length("short")) / 8).cast("long").alias("width")).join(pivots, "component")
-    counts = mixed.groupBy("sig", "component", "k", "parts").agg(F.count("*").alias("c"))
-    tile = lambda c, n: F.pmod(F.xxhash64(c), F.floor(F.col(n) / PIECE) + 1)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(n) / PIECE)))
-    columns = ["sig", "pt", "tt", "target", "doc", "component", "c", "n", "least", "radius", "width", "short"]
-    targets = counts.join(whole, "component").withColumnsRenamed({"pivot": "short"}).withColumns({"tt": tile("component", "parts"), "pt": every("k"), "target": F.lit(True), "doc": F.col("component")})
-    probes = mixed.join(counts.select("sig", "component", "c"), ["sig", "component"]).join(members.select("doc", "n", "short"), "doc")
-    probes = probes.withColumns({"pt": tile("doc", "k"), "tt": every("parts"), "target": F.lit(False), "least": F.col("n"), "radius": F.lit(0).cast("long"), "width": F.lit(0).cast("long")})
-    dealt = targets.select(columns).unionByName(probes.select(columns)).repartition(many, "sig", "pt", "tt").sortWithinPartitions("sig", "pt", "tt")
-    close = dealt.mapInArrow(_cross, "sig long, a long, to long")
-    own = mixed.select("sig", F.col("component").alias("to"), F.col("doc").alias("b"))
-    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return close.join(own, ["sig", "to"]).select(pair.alias("p")).select("p.*").distinct()
+    counts = mixed.groupBy("sig", "component").agg(F.count("*").alias("c"))
+    rows = mixed.join(counts, ["sig", "component"]).join(reps.select("doc", "n", "short"), "doc")
+    tiles = F.floor(F.col("k") / PIECE)
+    place = F.pmod(F.xxhash64("doc"), tiles + 1)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), tiles))
+    columns = ["sig", "pt", "tt", "target", "doc", "component", "c", "n", "short"]
+    targets = rows.withColumns({"tt": place, "pt": every, "target": F.lit(True)}).select(columns)
+    probes = rows.withColumns({"pt": place, "tt": every, "target": F.lit(False)}).select(columns)
+    dealt = targets.unionByName(probes).repartition(many, "sig", "pt", "tt").sortWithinPartitions("sig", "pt", "tt")
+    return dealt.mapInArrow(_cross, "a long, b long").distinct()
 
 
 def _between(pairs: DataFrame, where: DataFrame) -> DataFrame:
