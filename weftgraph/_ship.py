@@ -9,15 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch where the session leaves Spark's default of 10,000: rows here are whole documents.
-BATCH = "2000"
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: rows here are whole documents, and what a
+#: batch takes is held by the executor and by its worker.
+BATCH = {"maxRecordsPerBatch": ("10000", "2000"), "maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the workers of this application, once."""
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    for name, (default, own) in BATCH.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).parent
