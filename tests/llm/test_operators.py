@@ -305,7 +305,7 @@ def test_license_cosine(spark):
     rows, unknown = licenses.weights()
     idf = dict(licenses.idf_rows())
     text = "Licensed under the Apache License, Version 2.0, or not at all."
-    c = Counter(re.findall(licenses.TOKEN, text.lower()))
+    c = Counter(licenses.tokens(text))
     norm = sum((k * idf.get(t, unknown)) ** 2 for t, k in c.items()) ** 0.5
     by = defaultdict(float)
     for i, _, t, w in rows:
@@ -315,6 +315,47 @@ def test_license_cosine(spark):
     assert got["licence"] == "Apache-2.0" and abs(got["cosine"] - best) < 1e-4
 
 
+def test_whole_licences(spark):
+    """Ten licence texts, each with a title and a copyright line of its own, wrapped at 70 columns, classify as themselves."""
+    import textwrap
+
+    texts = {name: "\n\n".join(["Some Project", "Copyright 2020 Jane Roe", *["\n".join(textwrap.wrap(p, 70)) for p in parts]]) for name, parts in licenses.texts().items()}
+    assert len(texts) >= 10
+    headers = {"GPL-3.0": "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\n\nint main;",
+               "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nPreamble", "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0\nimport os\n", "LGPL-2.1": "// SPDX-License-Identifier: LGPL-2.1-or-later\nx"}
+    rows = [(f"{n}/LICENSE", t, n) for n, t in texts.items()] + [(f"h{n}/x.c", t, n) for n, t in headers.items()] + [("MIT/deep/er/file", "nothing here", "MIT"), ("none/a", "the software and the use of any copy", None)]
+    got = {r["path"]: (r["licence"], r["via"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()}
+    assert {p: got[p][0] for p, _, _ in rows} == {p: n for p, _, n in rows}
+    assert all(got[f"{n}/LICENSE"][1] == "file" for n in texts) and got["MIT/deep/er/file"] == ("MIT", "inherited")
+    alone = licenses.texts()["MIT"]
+    parts = licenses.scan(spark.createDataFrame([(f"p{i}/LICENSE", p) for i, p in enumerate(alone[:2])], "path string, text string")).collect()
+    assert {r["licence"] for r in parts} == {"MIT"}
+
+
+def test_no_unit_is_gated_out(spark):
+    """Against the cosine of every unit with every template, for texts made of template words."""
+    r = random.Random(4)
+    rows, unknown = licenses.weights()
+    idf, of = dict(licenses.idf_rows()), defaultdict(dict)
+    for i, name, t, w in rows:
+        of[(i, name)][t] = w
+    words = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    texts = []
+    for k in range(300):
+        base = r.choice(licenses.TEMPLATES)[1].split()
+        t = [w for w in base if r.random() < 0.7] + [r.choice(words) if r.random() < 0.5 else f"x{r.randrange(99)}" for _ in range(r.randrange(len(base) + 3))]
+        texts.append(" ".join(t).replace(". ", " ").replace("\n", " "))
+
+    def best(text):
+        c = Counter(licenses.tokens(text))
+        norm = sum((k * idf.get(t, unknown)) ** 2 for t, k in c.items()) ** 0.5
+        return max((sum(c[t] * idf[t] * w for t, w in m.items() if t in c) / norm for m in of.values()), default=0.0) if norm else 0.0
+
+    want = {str(i): best(t) for i, t in enumerate(texts)}
+    got = {x["path"]: x["cosine"] for x in licenses.classified(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")).collect()}
+    assert all((p in got) == (w >= licenses.LEAST) and (p not in got or abs(got[p] - w) < 1e-4) for p, w in want.items() if abs(w - licenses.LEAST) > 1e-4)
+
+
 # fingerprints
 
 

@@ -1,13 +1,21 @@
 """Licence scans: sparse TF-IDF cosine to licence templates, then inheritance from the nearest directory above.
 
-A file's segments are its sentences and lines. Those that name a licence or a copyright are compared, as sparse
-TF-IDF vectors, to the templates: tokens are joined to the template weights (a table of fixed size), products summed,
-and divided by the norms. The best template of cosine LEAST or more is the file's own licence. A file is the licence
-file of its directory if its name says so, or if its licence segments hold at least SHARE of its words. A file with
-no licence of its own takes that of the nearest directory above it with a licence file, found by joining directories
-to directories on their paths, once for each directory and not for each file.
-
-All of it is DataFrame operations. The full texts aren't shuffled; only licence segments are.
+Templates are the texts of short licences, whole and by paragraph, the notices by which long ones are applied, their
+titles, and SPDX tags. A file's units are its lines and sentences and its paragraphs (stretches between blank lines, so
+headers that are wrapped or set in comments are one unit). Every unit is a sparse TF-IDF vector without function words;
+the best template of cosine LEAST or more is its licence, and the best unit's licence is the file's own.
+
+Cosines are computed for units that can reach LEAST, and no unit that can is left out: by Cauchy and Schwarz a unit's
+cosine with a template is at most the length of the template's part that the unit holds. So a unit must hold a token of
+each template's heaviest part (what is left has a length below LEAST), and the squares of the greatest weights of the
+tokens it holds must add up to LEAST squared. Both are tested where the text lies; only tokens of units that pass are
+shuffled. They are joined to the template weights (tables of fixed size), products summed, and divided by the norms.
+
+A file is the licence file of its directory if its name says so, or if its licence units hold at least SHARE of its
+words. A file with no licence of its own takes that of the nearest directory above it with a licence file, found by
+joining directories to directories on their paths, once for each directory and not for each file.
+
+All of it is DataFrame operations. The full texts aren't shuffled.
 """
 
 from __future__ import annotations
@@ -19,93 +27,122 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, Scratch
+from ._licence_texts import FUNCTION_WORDS, TEMPLATES, TEXTS
 
 LEAST, SHARE = 0.5, 0.2
 
-#: The notices by which licences are applied, by SPDX identifier.
-TEMPLATES = (
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause License."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal license."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Proprietary", "Copyright. All rights reserved. Proprietary license. Do not distribute."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
-)
 #: A token; in the JVM the group is possessive, as repeated groups are matched by recursion otherwise.
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 JVM_TOKEN = TOKEN + "+"
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NAMES = "[Ll][Ii][Cc][Ee][Nn][SsCc]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX"
 #: Segments end after a line feed, or at blanks after a full stop.
 BREAK = r"\n|\. +"
+#: Paragraphs end at a line that is blank but for comment signs.
+BLANK_LINE = r"\n[\x20\t\r#*/;%-]*\n"
 FILE_NAME = r"(?:^|/)(?:LICEN[CS]E|COPYING|UNLICENSE)(?:\.[A-Za-z0-9]+)?$"
 
 
+def texts() -> dict[str, tuple[str, ...]]:
+    """The paragraphs of the licences whose texts are templates."""
+    return dict(TEXTS)
+
+
+def tokens(text: str) -> list[str]:
+    return [t for t in re.findall(TOKEN, text.lower()) if t not in FUNCTION_WORDS]
+
+
 def weights() -> tuple[list[tuple[int, str, str, float]], float]:
     """(template, licence, token, unit weight) rows, and the weight of a token that no template has."""
-    counted = [Counter(re.findall(TOKEN, t.lower())) for _, t in TEMPLATES]
-    df = Counter(t for c in counted for t in c)
-    n = len(TEMPLATES)
-    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    counted = [Counter(tokens(t)) for _, t in TEMPLATES]
+    idf = dict(idf_rows())
     rows = []
     for i, ((name, _), c) in enumerate(zip(TEMPLATES, counted, strict=True)):
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
         rows += [(i, name, t, round(k * idf[t] / norm, 12)) for t, k in sorted(c.items())]
-    return rows, round(math.log(1 + n) + 1, 12)
+    return rows, round(math.log(1 + len(TEMPLATES)) + 1, 12)
 
 
 def idf_rows() -> list[tuple[str, float]]:
-    counted = [set(re.findall(TOKEN, t.lower())) for _, t in TEMPLATES]
-    df = Counter(t for c in counted for t in c)
+    df = Counter(t for _, text in TEMPLATES for t in set(tokens(text)))
     return [(t, round(math.log((1 + len(TEMPLATES)) / (1 + k)) + 1, 12)) for t, k in sorted(df.items())]
 
 
+def gate(least: float = LEAST) -> list[str]:
+    """Tokens of which every unit with a cosine of least or more holds one: of each template the heaviest, until the
+    squares of the others add up to less than least squared."""
+    out: set[str] = set()
+    by: dict[int, list[tuple[float, str]]] = {}
+    for i, _, t, w in weights()[0]:
+        by.setdefault(i, []).append((w, t))
+    for row in by.values():
+        left = sum(w * w for w, _ in row)
+        for w, t in sorted(row, reverse=True):
+            if left < least * least - 1e-9:
+                break
+            out.add(t)
+            left -= w * w
+    return sorted(out)
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of these words that shares their beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = []
+    for c, rest in sorted(heads.items(), reverse=True):
+        if c:
+            more = sorted(set(rest))
+            parts.append(re.escape(c) + ("" if more == [""] else _trie(more)))
+    inner = "|".join(parts)
+    return f"(?:{inner})?" if "" in heads else f"(?:{inner})"
+
+
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of fixed size, in the plan itself."""
     cell = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v)
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({schema})")
 
 
-def segments(text: Column) -> Column:
-    return F.filter(F.split(text, BREAK, -1), lambda s: s.rlike(NAMES))
+def units(text: Column) -> Column:
+    """array<struct<sort, unit>>: lines and sentences (0), and paragraphs of several of them (1)."""
+    told = lambda parts, sort: F.transform(parts, lambda u: F.struct(F.lit(sort).alias("sort"), u.alias("unit")))
+    whole = F.filter(F.split(text, BLANK_LINE, -1), lambda p: p.rlike(BREAK))
+    return F.concat(told(F.split(text, BREAK, -1), 0), told(whole, 1))
 
 
 def classified(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(path, digest, licence, cosine, words): the best template of each file that has one, and the words of its
-    segments of that cosine or more. files: path, text."""
+    units of that cosine or more (of its lines and sentences, or of a larger paragraph). files: path, text."""
     spark = files.sparkSession
-    some = files.filter(F.col("text").rlike(NAMES)).select("path", F.xxhash64("text").alias("digest"), F.posexplode(segments(F.col("text"))).alias("no", "segment")).distinct()
-    lower = F.translate("segment", CAPITALS, SMALLS)
-    tf = some.select("path", "digest", "no", F.size(F.regexp_extract_all("segment", F.lit(WORD), F.lit(0))).alias("words"), F.explode(F.regexp_extract_all(lower, F.lit(JVM_TOKEN), F.lit(0))).alias("token"))
-    key = ["path", "digest", "no"]
-    tf = tf.groupBy(*key, "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"))
     rows, unknown = weights()
+    least_square = least * least - 1e-9
+    heavy = f"(?i)(?<![a-z0-9])(?:{_trie(gate(least))})(?![a-z0-9])"
+    most: dict[str, float] = {}
+    for _, _, t, w in rows:
+        most[t] = max(most.get(t, 0.0), w * w)
+    bound = F.create_map(*[F.lit(x) for t, w in sorted(most.items()) for x in (t, w)])
+    lower = lambda c: F.translate(c, CAPITALS, SMALLS)
+    listed = lambda c: F.regexp_extract_all(lower(c), F.lit(JVM_TOKEN), F.lit(0))
+    mass = lambda u: F.aggregate(F.array_distinct(listed(u)), F.lit(0.0), lambda s, t: s + F.coalesce(F.element_at(bound, t), F.lit(0.0)))
+    able = lambda x: F.when(x["unit"].rlike(heavy), mass(x["unit"]) >= least_square).otherwise(False)
+    some = files.filter(F.col("text").rlike(heavy)).select("path", F.xxhash64("text").alias("digest"), F.posexplode(F.filter(units(F.col("text")), able)).alias("no", "u")).distinct()
+    some = some.select("path", "digest", "no", F.col("u.sort").alias("sort"), F.col("u.unit").alias("unit"))
+    plain = F.array(*[F.lit(w) for w in sorted(FUNCTION_WORDS)])
+    tf = some.select("path", "digest", "no", "sort", F.size(F.regexp_extract_all("unit", F.lit(WORD), F.lit(0))).alias("words"), F.explode(F.filter(listed(F.col("unit")), lambda t: ~F.array_contains(plain, t))).alias("token"))
+    key = ["path", "digest", "no"]
+    tf = tf.groupBy(*key, "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"), F.first("sort").alias("sort"))
     idf = F.broadcast(_values(spark, idf_rows(), "token, idf"))  # fixed size
     templates = F.broadcast(_values(spark, rows, "template, licence, token, weight"))  # fixed size
     tf = tf.join(idf, "token", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.first("words").alias("words"))
+    norms = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.first("words").alias("words"), F.first("sort").alias("sort"))
     dots = tf.join(templates, "token").groupBy(*key, "template", "licence").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]
-    scored = dots.alias("d").join(norms.alias("n"), same).select(*[F.col(f"d.{c}") for c in key], "licence", "words", F.round(F.col("dot") / F.col("norm"), 4).alias("cosine")).filter(F.col("cosine") >= least)
-    by = scored.groupBy(*key).agg(F.min(F.struct(-F.col("cosine"), "licence")).alias("best"), F.first("words").alias("words"))
-    return by.groupBy("path", "digest").agg(F.min("best").alias("best"), F.sum("words").alias("words")).select("path", "digest", F.col("best.licence").alias("licence"), (-F.col("best.col1")).alias("cosine"), "words")
+    scored = dots.alias("d").join(norms.alias("n"), same).select(*[F.col(f"d.{c}") for c in key], "licence", "words", "sort", F.round(F.col("dot") / F.col("norm"), 4).alias("cosine")).filter(F.col("cosine") >= least)
+    by = scored.groupBy(*key).agg(F.min(F.struct(-F.col("cosine"), "licence")).alias("best"), F.first("words").alias("words"), F.first("sort").alias("sort"))
+    held = F.greatest(F.coalesce(F.sum(F.when(F.col("sort") == 0, F.col("words"))), F.lit(0)), F.coalesce(F.max(F.when(F.col("sort") == 1, F.col("words"))), F.lit(0)))
+    return by.groupBy("path", "digest").agg(F.min("best").alias("best"), held.alias("words")).select("path", "digest", F.col("best.licence").alias("licence"), (-F.col("best.col1")).alias("cosine"), "words")
 
 
 def directory(path: Column) -> Column:
@@ -122,17 +159,19 @@ def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFr
     is in no directory. Rows alike in path and text have like results. Of several licence files of a directory,
     the one of the highest cosine counts, then the first licence by name.
     """
+    scratch = Scratch(files.sparkSession)
     given = [c for c in files.columns if c.lower() not in ("licence", "cosine", "via", "from_directory")]
     files = files.select("path", "text", F.struct(*[F.col(f"`{c}`") for c in given]).alias("row_"))
     own = classified(files, least).select(F.col("path").alias("p_"), F.col("digest").alias("d_"), F.col("licence").alias("own_"), F.col("cosine").alias("cosine_"), F.col("words").alias("words_"))
-    is_some = F.coalesce(F.col("text").rlike(NAMES), F.lit(False))
-    total = F.when(is_some, F.regexp_count("text", F.lit(WORD))).otherwise(0)
-    told = files.withColumn("digest_", F.xxhash64("text")).withColumn("total_", total).withColumn("dir_", directory(F.col("path")))
-    told = told.join(own, F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_")), "left").withColumn("file_", F.coalesce(F.col("own_").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("words_") >= share * F.col("total_"))), F.lit(False)))
+    own = scratch.table(own, "own")
+    told = files.withColumn("digest_", F.xxhash64("text")).withColumn("dir_", directory(F.col("path")))
+    is_own = F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_"))
+    # the words of a text are counted where it has a licence of its own, before it meets that
+    narrow = files.select("path", F.xxhash64("text").alias("digest_"), F.when(F.col("path").rlike(FILE_NAME), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD))).alias("total_")).distinct()
+    marked = scratch.table(own.join(narrow, is_own).withColumn("file_", F.col("path").isNotNull() & F.coalesce(F.col("path").rlike(FILE_NAME) | (F.col("words_") >= share * F.col("total_")), F.lit(False))).drop("path", "digest_", "total_"), "marked")
+    told = told.join(marked, is_own, "left").withColumn("file_", F.coalesce("file_", F.lit(False)))
     # directories, and the nearest licensed one at or above each
-    narrow = files.filter(F.col("text").rlike(NAMES)).select("path", F.xxhash64("text").alias("digest_"), F.regexp_count("text", F.lit(WORD)).alias("total_"))
-    marked = own.join(narrow, F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_"))).filter("path is not null").filter(F.col("path").rlike(FILE_NAME) | (F.col("words_") >= share * F.col("total_")))
-    licensed = marked.groupBy(directory(F.col("path")).alias("above")).agg(F.min(F.struct(-F.col("cosine_"), "own_")).alias("b")).select("above", F.col("b.own_").alias("given_"))
+    licensed = marked.filter("file_").groupBy(directory(F.col("p_")).alias("above")).agg(F.min(F.struct(-F.col("cosine_"), "own_")).alias("b")).select("above", F.col("b.own_").alias("given_"))
     parts = F.split("dir_", "/")
     above = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("above")
     dirs = files.select(directory(F.col("path")).alias("dir_")).filter("dir_ is not null").distinct().select("dir_", above).distinct()

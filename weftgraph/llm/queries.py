@@ -91,27 +91,31 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 
 
 def _license_sql() -> str:
-    cell = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
-    values = lambda rows: ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
-    rows, unknown = licenses.weights()
+    """Weights come from the templates' texts, and every unit of every text is compared with every template."""
+    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    values = ", ".join(f"({i}, {cell(name)}, {cell(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    plain = ", ".join(cell(w) for w in sorted(licenses.FUNCTION_WORDS))
     least, share = licenses.LEAST, licenses.SHARE
+    tokens = lambda c: f"list_filter(regexp_extract_all(translate({c}, '{licenses.CAPITALS}', '{licenses.SMALLS}'), '{licenses.TOKEN}'), lambda t: t NOT IN ({plain}))"
+    word = r"[^\x20\x09-\x0D]+"
     return rf"""
-WITH idf(token, idf) AS (VALUES {values(licenses.idf_rows())}),
-tmpl(template, licence, token, weight) AS (VALUES {values(rows)}),
+WITH t0(template, licence, text) AS (VALUES {values}),
+t1 AS (SELECT template, licence, unnest({tokens('text')}) AS token FROM t0),
+t2 AS (SELECT template, licence, token, count(*) AS k FROM t1 GROUP BY ALL),
+idf AS (SELECT token, round(ln((1 + (SELECT count(*) FROM t0)) / (1 + count(DISTINCT template))) + 1, 12) AS idf FROM t2 GROUP BY token),
+tmpl AS (SELECT template, licence, token, round(k * idf / sqrt(sum((k * idf) ** 2) OVER (PARTITION BY template)), 12) AS weight FROM t2 JOIN idf USING (token)),
 f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text FROM documents),
-g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(text, '[^ 	-
-]+')) AS total FROM f),
-seg AS (SELECT doc_id, path, total, unnest(range(len(p))) AS no, unnest(p) AS s FROM (SELECT *, string_split_regex(text, '
-|\. +') AS p FROM g)),
-hit AS (SELECT *, len(regexp_extract_all(s, '[^ 	-
-]+')) AS words FROM seg WHERE regexp_matches(s, '{licenses.NAMES}')),
-tok AS (SELECT doc_id, no, unnest(regexp_extract_all(translate(s, '{licenses.CAPITALS}', '{licenses.SMALLS}'), '{licenses.TOKEN}')) AS token FROM hit),
-tf AS (SELECT doc_id, no, t.token, count(*) * any_value(coalesce(idf, {unknown!r}::DOUBLE)) AS v FROM tok t LEFT JOIN idf USING (token) GROUP BY ALL),
+g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(text, '{word}')) AS total FROM f),
+seg AS (SELECT doc_id, 0 AS sort, unnest(range(len(p))) AS i, unnest(p) AS s FROM (SELECT doc_id, string_split_regex(text, '{licenses.BREAK}') AS p FROM g)
+  UNION ALL SELECT doc_id, 1, i, s FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS s FROM (SELECT doc_id, string_split_regex(text, '{licenses.BLANK_LINE}') AS p FROM g)) WHERE regexp_matches(s, '{licenses.BREAK}')),
+hit AS (SELECT *, sort * 1000000000 + i AS no, len(regexp_extract_all(s, '{word}')) AS words FROM seg),
+tok AS (SELECT doc_id, no, unnest({tokens('s')}) AS token FROM hit),
+tf AS (SELECT doc_id, no, t.token, count(*) * any_value(coalesce(idf, round(ln(1 + (SELECT count(*) FROM t0)) + 1, 12))) AS v FROM tok t LEFT JOIN idf USING (token) GROUP BY ALL),
 norm AS (SELECT doc_id, no, sqrt(sum(v * v)) AS norm FROM tf GROUP BY ALL),
 dot AS (SELECT doc_id, no, template, licence, sum(v * weight) AS dot FROM tf JOIN tmpl USING (token) GROUP BY ALL),
 sc AS (SELECT doc_id, no, licence, round(dot / norm, 4) AS cosine FROM dot JOIN norm USING (doc_id, no) WHERE round(dot / norm, 4) >= {least}),
 best AS (SELECT doc_id, no, min((-cosine, licence)) AS b FROM sc GROUP BY ALL),
-own AS (SELECT doc_id, min(b) AS b, sum(words) AS words FROM best JOIN hit USING (doc_id, no) GROUP BY doc_id),
+own AS (SELECT doc_id, min(b) AS b, greatest(coalesce(sum(words) FILTER (sort = 0), 0), coalesce(max(words) FILTER (sort = 1), 0)) AS words FROM best JOIN hit USING (doc_id, no) GROUP BY doc_id),
 o AS (SELECT g.doc_id, g.path, g.dir, b[2] AS own, -b[1] AS cosine, own.doc_id IS NOT NULL AND (regexp_matches(path, '{licenses.FILE_NAME}') OR words >= {share} * total) AS is_file FROM g LEFT JOIN own USING (doc_id)),
 lic AS (SELECT dir AS above, min((-cosine, own))[2] AS given FROM o WHERE is_file GROUP BY dir),
 near AS (SELECT d.dir, arg_max(given, len(above)) AS given, arg_max(above, len(above)) AS above FROM (SELECT DISTINCT dir FROM o) d JOIN lic ON above = '' OR d.dir = above OR starts_with(d.dir, above || '/') GROUP BY d.dir)
