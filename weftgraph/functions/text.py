@@ -9,9 +9,13 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 INTEGER = r"-?(?:0|[1-9][0-9]*)"
 #: As int or float literals of JSON, with a leading plus or point allowed.
@@ -405,3 +409,35 @@ def lowbias32_col(x: Column) -> Column:
     x = x.bitwiseXOR(shift(x, 15))
     x = mul(x, 0x846CA68B)
     return x.bitwiseXOR(shift(x, 16))
+
+
+def as_column(function: Callable, kind: str) -> Callable[[Column], Column]:
+    """A function of one value as a function of a column, by Arrow batches; null for null. For the forms that have no
+    expression of their own."""
+
+    def of(c: Column) -> Column:
+        to = to_arrow_type(_parse_datatype_string(kind))
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in batches:
+                yield pa.array([None if v is None else function(v) for v in column.to_pylist()], to)
+
+        return F.arrow_udf(run, kind)(c)
+
+    return of
+
+
+def parse_as_col(c: Column, dtype: str) -> Column:
+    """parse_as as an expression: null where a cell's text doesn't fit the type."""
+    if dtype == "bool":
+        return F.when(c == "true", True).when(c == "false", False)
+    if dtype == "i32":
+        return F.when(c.rlike(r"\A[+-]?[0-9]+\z"), c.try_cast("int"))
+    return F.when(c.rlike(rf"\A{NUMBER}\z"), c.try_cast("double")) if dtype == "f64" else c
+
+
+def split_list_col(c: Column) -> Column:
+    """Items of a list divided by the first of | ; , that occurs in it; a list in brackets is for split_list."""
+    t = F.trim(c)
+    items = lambda sep: F.transform(F.split(t, f"[{sep}]"), lambda x: F.trim(x))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit("|")), items("|")).when(F.contains(t, F.lit(";")), items(";")).otherwise(items(","))

@@ -98,6 +98,8 @@ def from_records(nodes: DataFrame | None, links: DataFrame, order: list[str], no
         raise GraphError("E_UNKNOWN_COLUMN", f"no {SOURCE_KEYS} or {TARGET_KEYS}")
     keep = [c for c in links.columns if c not in (src, dst, weight, *order)]
     if node_id is None and nodes is not None:
+        nodes = nodes.withColumnRenamed("id", "id_")  # the place is the id
+        node_order = ["id_" if c == "id" else c for c in node_order or nodes.columns]
         placed = numbered(nodes, node_order or nodes.columns, "__place", Scratch(links.sparkSession))
         return from_edges(links, src, dst, order, weight, directed, placed, "__place", ["__place"], keep, strict=True)
     return from_edges(links, src, dst, order, weight, directed, nodes, node_id or "id", node_order, keep)
