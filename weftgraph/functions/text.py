@@ -378,8 +378,14 @@ def is_nmtoken(text: str) -> bool:
 
 
 def mangle_nmtoken(text: str) -> str:
-    """text with each other character as _xHEX_."""
-    return re.sub(f"[^{_NM}]", lambda m: f"_x{ord(m[0]):X}_", text) or "_"
+    """text with each other character as _xHEX_, and so an underscore that would read as such a mark; _x_ for none.
+    Different texts stay different: see restore_nmtoken."""
+    return re.sub(f"[^{_NM}]|_(?=x[0-9A-F]*_)", lambda m: f"_x{ord(m[0]):X}_", text) or "_x_"
+
+
+def restore_nmtoken(text: str) -> str:
+    """The text that mangle_nmtoken was given."""
+    return re.sub("_x([0-9A-F]*)_", lambda m: chr(int(m[1], 16)) if m[1] else "", text)
 
 
 def unique_name(name: str, taken: set[str], id_: str | None = None) -> str:

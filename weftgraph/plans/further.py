@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .._tables import Scratch
 from ..functions import text as T
-from ..graph import Graph, metadata
+from ..graph import Graph, empty_edges, metadata
 from ..operators import columns, derive, layout, query, tree, validate, views
 from ..operators.freeze import freeze
 from ..sources import formats, parsers, sinks, tables
@@ -82,6 +82,36 @@ for _f in sinks.DIALECTS:
     _add("io_" + _f.replace("-", "_") + "_undirected", _dialect(_f), _NAMED, False)
 
 
+def _nested(format: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Regions, nations and customers written inside one another, and read back."""
+        t = containment(spark, sf_dir)
+        nodes = t.select("idx", F.concat_ws(" ", F.col("kind").cast("string"), F.col("key").cast("string")).alias("id"), "parent")
+        g = Graph(metadata(nodes, "parent", role="parent", refersTo="node"), empty_edges(spark))
+        at = Scratch(spark).path(format)
+        sinks.document(g, format).repartitionByRange(1, "part", "at").sortWithinPartitions("part", "at").select("line").write.text(at)
+        return formats.read(spark, f"{at}/part-*", format).graph.nodes.select("id", "parent")
+
+    return run
+
+
+for _f in sinks.NESTED:
+    QUERIES[f"io_{_f}_nested"] = _nested(_f)
+    SQL[f"io_{_f}_nested"] = f"WITH {CONTAINMENT} SELECT a.kind || ' ' || a.key AS id, b.kind || ' ' || b.key AS parent FROM T a LEFT JOIN T b ON b.idx = a.parent"
+
+
+def _spelled(g: Graph) -> DataFrame:
+    """Ids that a format can't hold as they are, beside some that look like their replacements."""
+    text = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("a b ", "a_x20_b", "é?<", "_x", "", "_x_")]), (F.col("idx") % 6 + 1).cast("int")), F.col("idx").cast("string"))
+    at = Scratch(g.spark).path("ids")
+    sinks.document(g.with_(nodes=g.nodes.select("idx", text.alias("id"))), "graphml").repartitionByRange(1, "part", "at").sortWithinPartitions("part", "at").select("line").write.text(at)
+    return _named(formats.read(g.spark, f"{at}/part-*", "graphml", ids="string").graph)
+
+
+_SPELL = "list_extract(['a b ', 'a_x20_b', 'é?<', '_x', '', '_x_'], ({x} % 6 + 1)::INT) || {x}"
+_add("io_graphml_ids", _spelled, f"SELECT e, {_SPELL.format(x='src')} AS source, {_SPELL.format(x='dst')} AS target, w FROM E")
+
+
 def _mixed(how: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Order lines as edges from supplier to part; those returned are undirected."""

@@ -368,6 +368,10 @@ def parse_gexf(data: bytes) -> Elements:
             yield {**both, "s": both["t"], "t": both["s"]}
 
 
+#: The graph attribute by which the writer says that ids are mangled.
+MANGLED = "mangled ids"
+
+
 def parse_graphml(data: bytes, hyperedges: str = "star") -> Elements:
     root = _xml(data)
     graph = next((x for x in root if _tag(x) == "graph"), None)
@@ -396,6 +400,7 @@ def parse_graphml(data: bytes, hyperedges: str = "star") -> Elements:
         return a, bad
 
     a, bad = values(graph, "graph")
+    id_of = T.restore_nmtoken if a.pop(MANGLED, False) else lambda x: x  # ids that the writer had to change
     yield {"k": "g", "directed": graph.get("edgedefault", "directed") != "undirected", "a": a}
     yield from bad
 
@@ -406,16 +411,16 @@ def parse_graphml(data: bytes, hyperedges: str = "star") -> Elements:
             if t == "node":
                 a, bad = values(x, "node")
                 yield from bad
-                yield node(x.get("id"), **{**a, **({"parent": parent} if parent else {})}) if x.get("id") else issue("blank-id", "node", "no id")
+                yield node(id_of(x.get("id")), **{**a, **({"parent": parent} if parent else {})}) if x.get("id") else issue("blank-id", "node", "no id")
                 for inner in (y for y in x if _tag(y) == "graph"):
-                    yield from walk(inner, x.get("id"))
+                    yield from walk(inner, x.get("id") and id_of(x.get("id")))
             elif t in ("edge", "hyperedge"):
                 later.append(x)
         for i, x in enumerate(later):
             a, bad = values(x, "edge")
             yield from bad
             if _tag(x) == "hyperedge":
-                ends = [p.get("node") for p in x if _tag(p) == "endpoint"]
+                ends = [p.get("node") and id_of(p.get("node")) for p in x if _tag(p) == "endpoint"]
                 yield from hyperedge(ends, hyperedges, i, x.get("id") or f"hyperedge{i}", a)
                 continue
             w, why = _weight(a.pop("weight", None), i)
@@ -423,7 +428,7 @@ def parse_graphml(data: bytes, hyperedges: str = "star") -> Elements:
                 yield why or issue("blank-endpoint", i, "no source or target")
                 continue
             ports = {"sourcePort": x.get("sourceport"), "targetPort": x.get("targetport"), "id": x.get("id")}
-            yield edge(x.get("source"), x.get("target"), w, None if x.get("directed") is None else x.get("directed") == "true", **{**a, **ports})
+            yield edge(id_of(x.get("source")), id_of(x.get("target")), w, None if x.get("directed") is None else x.get("directed") == "true", **{**a, **ports})
 
     yield from walk(graph, None)
 

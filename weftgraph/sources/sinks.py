@@ -17,15 +17,17 @@ from .._tables import partitions
 from ..errors import GraphError
 from ..functions import text as T
 from ..graph import Graph, by_role
+from ..operators.tree import depth_first
+from .parsers import MANGLED
 
 #: What each format can hold.
 CAPABILITIES = {
     "csv": {"nodes": False, "mixed": True, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
     "json": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
     "gexf": {"nodes": True, "mixed": True, "attributes": True, "nested": True, "parallel": True, "ids": "any"},
-    "graphml": {"nodes": True, "mixed": True, "attributes": True, "nested": True, "parallel": True, "ids": "nmtoken"},
+    "graphml": {"nodes": True, "mixed": True, "attributes": True, "nested": True, "parallel": True, "ids": "any"},
     "gml": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "integer"},
-    "dot": {"nodes": True, "mixed": False, "attributes": True, "nested": True, "parallel": True, "ids": "any"},
+    "dot": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
     "pajek": {"nodes": True, "mixed": True, "attributes": False, "nested": False, "parallel": True, "ids": "renumbered"},
     "neo4j": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
 }
@@ -55,10 +57,6 @@ def check(g: Graph, format: str) -> list[tuple[str, str]]:
         n = g.edges.filter(~F.col("directed")).count()
         if n:
             notes.append(("mixed-direction", str(n)))
-    if can["ids"] == "nmtoken":
-        bad = g.nodes.filter(~F.col("id").cast("string").rlike(r"\A[A-Za-z0-9_:.\-]+\z")).count()
-        if bad:
-            notes.append(("ids", str(bad)))
     if can["ids"] in ("integer", "renumbered") and g.nodes.schema["id"].dataType.simpleString() not in ("bigint", "int"):
         notes.append(("ids", "renumbered"))
     if format in ("gml", "json") and g.weighted and g.edges.filter(F.abs("w") == float("inf")).limit(1).count():
@@ -94,11 +92,18 @@ def explicit_weight(g: Graph) -> Column:
     return F.col("w") if g.weighted else F.lit(None).cast("float")
 
 
-def _rows(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as (at, id or source and target, w, undirected, attrs JSON)."""
+def _rows(g: Graph, nested: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as (at, id or source and target, w, undirected, attrs JSON). nested, with a column of role parent:
+    nodes in preorder, with their depth and that of the next node."""
     pack = lambda names: F.to_json(F.struct(*[F.col(f"`{n}`").alias(n) for n in names])) if names else F.lit("{}")
     kept = [c for c in g.edge_attributes() if c not in ("pair", "directed", "w64")]
-    nodes = g.nodes.select(F.col("idx").alias("at"), "id", pack(g.node_attributes()).alias("attrs"))
+    parent = by_role(g.nodes, "parent") if nested else None
+    nodes = g.nodes.select(F.col("idx").alias("at"), "id", pack([c for c in g.node_attributes() if c != parent]).alias("attrs"))
+    if parent:
+        order = depth_first(g.nodes, parent)
+        after = order.select((F.col("place") - 1).alias("place"), F.col("depth").alias("next"))
+        order = order.join(after, "place", "left").select("place", F.col("idx").alias("at"), "depth", F.coalesce("next", F.lit(0)).alias("next"))
+        nodes = nodes.join(order, "at").select(F.col("place").alias("at"), "id", "attrs", "depth", "next")
     e = folded(g.edges)
     un = ~F.coalesce(F.col("directed"), F.lit(True)) if "directed" in e.columns else F.lit(not g.directed)
     ids = g.nodes.select("idx", "id")
@@ -126,8 +131,10 @@ def document(g: Graph, format: str) -> DataFrame:
     if format not in WRITERS and format not in DIALECTS:
         raise GraphError("E_UNSUPPORTED", format)
     ship(g.spark)
-    nodes, edges = _rows(g)
-    kinds = {"n": {c: g.nodes.schema[c].dataType.simpleString() for c in g.node_attributes()}, "e": {c: g.edges.schema[c].dataType.simpleString() for c in g.edge_attributes() if c not in ("pair", "directed", "w64")}}
+    nested = format in NESTED
+    nodes, edges = _rows(g, nested)
+    held = by_role(g.nodes, "parent") if nested else None
+    kinds = {"n": {c: g.nodes.schema[c].dataType.simpleString() for c in g.node_attributes() if c != held}, "e": {c: g.edges.schema[c].dataType.simpleString() for c in g.edge_attributes() if c not in ("pair", "directed", "w64")}}
     head, node_line, middle, edge_line, tail = (WRITERS | DIALECTS)[format](g, kinds)
 
     def lines(make, mark):
@@ -155,6 +162,17 @@ def document(g: Graph, format: str) -> DataFrame:
     return every.filter("line is not null").select(F.col("part").cast("int").alias("part"), "at", "line")
 
 
+#: Formats whose writers nest nodes.
+NESTED = ("gexf", "graphml")
+
+
+def _closed(r, opened: str, leaf: str, close: str) -> str:
+    """What follows a node's own content: `opened` before its first child, else `leaf`, and an end for each level left."""
+    if r.get("depth") is None:
+        return leaf
+    return opened if r["next"] > r["depth"] else leaf + close * int(r["depth"] - r["next"])
+
+
 def _w(r) -> float | None:
     return None if r["w"] is None or r["w"] != r["w"] else float(r["w"])
 
@@ -226,7 +244,7 @@ def _gexf(g, kinds):
     def node(r):
         a = json.loads(r["attrs"])
         label = f' label="{T.escape_xml(_value(a["label"]))}"' if a.get("label") is not None else ""
-        return f'<node id="{T.escape_xml(str(r["id"]))}"{label}>{_xml_attrs(keys["n"], a, "gexf")}</node>'
+        return f'<node id="{T.escape_xml(str(r["id"]))}"{label}>{_xml_attrs(keys["n"], a, "gexf")}' + _closed(r, "<nodes>", "</node>", "</nodes></node>")
 
     def edge(r):
         w = _w(r)
@@ -241,10 +259,12 @@ def _graphml(g, kinds):
     decl = "".join(f'<key id="{i}" for="{"node" if k == "n" else "edge"}" attr.name="{T.escape_xml(n)}" attr.type="{XML_TYPES.get(kinds[k][n], ("string",))[0]}"/>' for k in "ne" for n, i in keys[k].items())
     if g.weighted:
         decl += '<key id="w" for="edge" attr.name="weight" attr.type="double"/>'
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{decl}<graph edgedefault="{"directed" if g.directed else "undirected"}">'
+    decl += f'<key id="m" for="graph" attr.name="{MANGLED}" attr.type="boolean"/>'
+    edges = f'edgedefault="{"directed" if g.directed else "undirected"}"'
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{decl}<graph {edges}><data key="m">true</data>'
     name = lambda v: T.mangle_nmtoken(str(v))
     directed = g.directed
-    node = lambda r: f'<node id="{name(r["id"])}">{_xml_attrs(keys["n"], json.loads(r["attrs"]), "data")}</node>'
+    node = lambda r: f'<node id="{name(r["id"])}">{_xml_attrs(keys["n"], json.loads(r["attrs"]), "data")}' + _closed(r, f'<graph id="{name(r["id"])}:" {edges}>', "</node>", "</graph></node>")
 
     def edge(r):
         w = f'<data key="w">{T.f32_text(_w(r))}</data>' if _w(r) is not None else ""
@@ -304,10 +324,14 @@ def _pajek(g, kinds):
 def _neo4j(g, kinds):
     types = {"int": "int", "bigint": "long", "double": "double", "float": "float", "boolean": "boolean"}
     col = lambda k: [T.quote_csv(f"{n}:{types.get(t, 'string')}") for n, t in kinds[k].items()]
-    own = lambda k, r: ["" if json.loads(r["attrs"]).get(n) is None else T.quote_csv(_value(json.loads(r["attrs"])[n])) for n in kinds[k]]
+    own = lambda k, a: ["" if a.get(n) is None else T.quote_csv(_value(a[n])) for n in kinds[k]]
     head, middle = ",".join(["id:ID", *col("n")]), ",".join([":START_ID", ":END_ID", ":TYPE", "weight:double", *col("e")])
-    node = lambda r: ",".join([T.quote_csv(str(r["id"])), *own("n", r)])
-    edge = lambda r: ",".join([T.quote_csv(str(r["source"])), T.quote_csv(str(r["target"])), "EDGE", "" if _w(r) is None else T.f32_text(_w(r)), *own("e", r)])
+    node = lambda r: ",".join([T.quote_csv(str(r["id"])), *own("n", json.loads(r["attrs"]))])
+
+    def edge(r):
+        a = json.loads(r["attrs"])  # a `type` attribute is the relationship's type
+        return ",".join([T.quote_csv(str(r["source"])), T.quote_csv(str(r["target"])), T.quote_csv(str(a.get("type") or "EDGE")), "" if _w(r) is None else T.f32_text(_w(r)), *own("e", a)])
+
     return head, node, middle, edge, None
 
 
@@ -324,8 +348,14 @@ def write(g: Graph, path: str, format: str) -> list[tuple[str, str]]:
     return notes
 
 
+#: Lines that one string may have.
+LINES = 1_000_000
+
+
 def join_text(g: Graph, format: str) -> str:
-    """A small graph's document as one string."""
+    """A small graph's document as one string; more than LINES nodes and edges are E_TOO_LARGE."""
+    if g.node_count() + g.edge_count() > LINES:
+        raise GraphError("E_TOO_LARGE", f"more than {LINES} lines; write() makes a folder of parts")
     return "\n".join(r["line"] for r in document(g, format).orderBy("part", "at").collect()) + "\n"
 
 
