@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import GraphError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
+    """The folder that driver and executors share. Without one, a session in one process has a local folder; on a cluster
+    that would lose data, and is E_INVALID_ARGUMENT."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise GraphError("E_INVALID_ARGUMENT", "spark.checkpoint.dir names no folder that all executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
@@ -38,6 +44,11 @@ class Scratch:
         out._scratch_path = at
         return out
 
+    def append(self, df: DataFrame, at: str) -> DataFrame:
+        """Add rows to the table at a path of this scratch, and read it: for state that only grows."""
+        df.write.mode("append").option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
     def drop(self, *tables: DataFrame) -> None:
         for x in tables:
             self._delete(x._scratch_path)

@@ -73,13 +73,16 @@ def hits(g: Graph, tol: float = 1e-8, max_iter: int = 100) -> DataFrame:
     state = scratch.table(g.nodes.select("idx", F.lit(1.0 / n).alias("hub"), F.lit(0.0).alias("authority")), "hits")
     for _ in range(max_iter):
         auth = scratch.table(pull(a, state.select("idx", "hub"), F.col("w") * F.col("hub"), "authority"), "authority")
+        parts = [auth]
         s = auth.agg(F.sum("authority")).first()[0] or 1.0
         auth = auth.withColumn("authority", F.col("authority") / s)
         hub = scratch.table(pull(back, auth, F.col("w") * F.col("authority"), "hub"), "hub")
+        parts.append(hub)
         s = hub.agg(F.sum("hub")).first()[0] or 1.0
         hub = hub.withColumn("hub", F.col("hub") / s)
         then = scratch.table(g.nodes.select("idx").join(hub, "idx", "left").join(auth, "idx", "left").na.fill(0.0), "hits")
         moved = then.join(state.select("idx", F.col("hub").alias("__h")), "idx").agg(F.sum(F.abs(F.col("hub") - F.col("__h")))).first()[0] or 0.0
+        scratch.drop(state, *parts)
         state = then
         if moved < tol:
             break
@@ -90,15 +93,18 @@ def _power(g: Graph, step, start: float, tol: float, max_iter: int, normalise: b
     scratch = Scratch(g.spark)
     a = _arcs(g, scratch)
     n = max(g.node_count(), 1)
-    state = scratch.table(g.nodes.select("idx", F.lit(start).alias("score")), "score")
+    state = held = scratch.table(g.nodes.select("idx", F.lit(start).alias("score")), "score")
     for _ in range(max_iter):
         y = pull(a, state, F.col("w") * F.col("score"))
         new = scratch.table(state.join(y, "idx", "left").select("idx", step(F.col("score"), F.coalesce("y", F.lit(0.0))).alias("score"), F.col("score").alias("prev")), "score")
         if normalise:
             norm = (new.agg(F.sum(F.col("score") * F.col("score"))).first()[0] or 0.0) ** 0.5 or 1.0
+            raw = new
             new = scratch.table(new.withColumn("score", F.col("score") / norm), "score")
+            scratch.drop(raw)
         moved = new.agg(F.sum(F.abs(F.col("score") - F.col("prev")))).first()[0] or 0.0
-        state = new.select("idx", "score")
+        scratch.drop(held)
+        state, held = new.select("idx", "score"), new
         if moved < n * tol:
             break
     return state
@@ -134,14 +140,17 @@ def breadth_first_search(g: Graph, sources: DataFrame, max_depth: int | None = N
     scratch = Scratch(g.spark)
     a = scratch.table(views.halves(g).filter("src <> dst").select("src", "dst").distinct(), "arcs")
     front = scratch.table(sources.select("idx").distinct().select("idx", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")), "front")
-    seen, depth = front, 0
+    at, depth = scratch.path("seen"), 0
+    seen = scratch.append(front, at)
     while max_depth is None or depth < max_depth:
         depth += 1
+        before = front
         step = a.join(front.select(F.col("idx").alias("src")), "src").groupBy(F.col("dst").alias("idx")).agg(F.min("src").alias("parent"))
         front = scratch.table(step.join(seen.select("idx"), "idx", "left_anti").select("idx", F.lit(depth).alias("depth"), "parent"), "front")
+        scratch.drop(before)
         if not front.limit(1).count():
             break
-        seen = scratch.table(seen.unionByName(front), "seen")
+        seen = scratch.append(front, at)
     return seen
 
 
@@ -154,10 +163,12 @@ def _relax(g: Graph, source: int, rounds: int) -> tuple[DataFrame, bool]:
     for _ in range(rounds):
         step = a.join(fresh.select(F.col("idx").alias("src"), "distance"), "src").groupBy(F.col("dst").alias("idx")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("d"), F.col("src").alias("p"))).alias("b"))
         both = step.join(state, "idx", "left").filter(F.col("distance").isNull() | (F.col("b.d") < F.col("distance")))
-        fresh = scratch.table(both.select("idx", F.col("b.d").alias("distance"), F.col("b.p").alias("parent")), "fresh")
-        if not fresh.limit(1).count():
+        late = scratch.table(both.select("idx", F.col("b.d").alias("distance"), F.col("b.p").alias("parent")), "fresh")
+        if not late.limit(1).count():
             return state, False
-        state = scratch.table(state.join(fresh.select("idx"), "idx", "left_anti").unionByName(fresh), "distance")
+        then = scratch.table(state.join(late.select("idx"), "idx", "left_anti").unionByName(late), "distance")
+        scratch.drop(*({id(x): x for x in (state, fresh)}.values()))
+        state, fresh = then, late
     return state, True
 
 
@@ -178,17 +189,19 @@ def k_core(g: Graph) -> DataFrame:
     scratch = Scratch(g.spark)
     pairs = scratch.table(g.edges.filter("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("x.a", "x.b").distinct(), "pairs")
     alive = scratch.table(g.nodes.select("idx"), "alive")
-    done = scratch.table(alive.limit(0).select("idx", F.lit(0).alias("core")), "core")
-    k = 0
+    at, k = scratch.path("core"), 0
+    done = scratch.append(alive.limit(0).select("idx", F.lit(0).alias("core")), at)
     while alive.limit(1).count():
         by = pairs.groupBy(F.col("a").alias("idx")).agg(F.count("*").alias("n"))
         degree = scratch.table(alive.join(by, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).alias("n")), "degree")
         k = max(k, degree.agg(F.min("n")).first()[0])
         gone = degree.filter(F.col("n") <= k).select("idx")
-        done = scratch.table(done.unionByName(gone.select("idx", F.lit(k).alias("core"))), "core")
+        done = scratch.append(gone.select("idx", F.lit(k).alias("core")), at)
+        before = (alive, pairs, degree)
         alive = scratch.table(degree.filter(F.col("n") > k).select("idx"), "alive")
         inside = pairs.join(alive.withColumnRenamed("idx", "a"), "a", "left_semi").join(alive.withColumnRenamed("idx", "b"), "b", "left_semi")
         pairs = scratch.table(inside.select("a", "b"), "pairs")
+        scratch.drop(*before)
     return done
 
 
@@ -234,13 +247,14 @@ def label_propagation(g: Graph, max_iter: int = 10) -> DataFrame:
 
     scratch = Scratch(g.spark)
     both = scratch.table(g.edges.filter("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x"), weight().alias("w")).groupBy("x.a", "x.b").agg(F.sum("w").alias("w")), "pairs")
-    state = scratch.table(g.nodes.select("idx", F.col("idx").alias("label")), "labels")
+    state = held = scratch.table(g.nodes.select("idx", F.col("idx").alias("label")), "labels")
     for _ in range(max_iter):
         votes = both.join(state.withColumnRenamed("idx", "b"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy(F.col("a").alias("idx")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("__new"))
         new = scratch.table(state.join(best, "idx", "left").select("idx", F.coalesce("__new", "label").alias("label"), (F.coalesce("__new", "label") != F.col("label")).alias("moved")), "labels")
         moved = new.filter("moved").limit(1).count()
-        state = new.select("idx", "label")
+        scratch.drop(held)
+        state, held = new.select("idx", "label"), new
         if not moved:
             break
     return renumber_partition(state)

@@ -58,7 +58,10 @@ def without_self_loops(g: Graph) -> Derived:
 
 
 def filter_edges(g: Graph, mask: Column | DataFrame) -> Derived:
-    """Edges where a condition over the edge columns is true, or whose e is in a table (e)."""
+    """Edges where a condition over the edge columns is true, or whose e is in a table (e); an e that is no edge of the
+    graph is E_MASK_LENGTH."""
+    if not isinstance(mask, Column) and mask.select("e").join(g.edges.select("e"), "e", "left_anti").limit(1).count():
+        raise GraphError("E_MASK_LENGTH", "the mask has an edge that the graph has not")
     kept = g.edges.filter(mask) if isinstance(mask, Column) else g.edges.join(mask.select("e").distinct(), "e", "left_semi")
     return _edges_only(g, kept)
 

@@ -23,9 +23,12 @@ def halves(g: Graph) -> DataFrame:
 
 
 def arcs(g: Graph) -> DataFrame:
-    """(arc, src, dst, e, w, forward): the adjacency entries in CSR order."""
-    out = numbered(halves(g), ["src", "dst", "e", "forward"], "arc", Scratch(g.spark))
-    return out.select("arc", "src", "dst", "e", "w", "forward")
+    """(arc, src, dst, e, w, forward): the adjacency entries in CSR order, numbered once for an edge table."""
+    held = g.edges.__dict__.setdefault("_arcs", {})
+    if g.directed not in held:
+        out = numbered(halves(g), ["src", "dst", "e", "forward"], "arc", Scratch(g.spark))
+        held[g.directed] = out.select("arc", "src", "dst", "e", "w", "forward")
+    return held[g.directed]
 
 
 def row_ptr(g: Graph) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .._tables import Scratch, numbered
 from ..errors import GraphError
+from ..functions import text
 from ..graph import Graph
 from ..operators.freeze import Report, freeze
 
@@ -110,6 +111,44 @@ class GraphBuilder:
         self.edge_log.append(rows.select("e", "source", "target", "w", F.lit(k).alias("op"), F.lit(True).alias("alive")))
         self.edge_bound += rows.count()
 
+    def _record(self, kind: str, key, cells: dict) -> None:
+        """Values of a row by name; a column that isn't declared yet is, with the type of its first value."""
+        for name, value in cells.items():
+            if value is None:
+                continue
+            if name not in self.columns[kind]:
+                self.declare_column(kind, name, text.infer_value(value))
+            self.set_value(kind, key, name, value)
+
+    def add_node_record(self, record: dict, id_key: str = "id") -> None:
+        """A node of a record: its id and, by name, its values."""
+        if record.get(id_key) is None:
+            raise GraphError("E_INVALID_ID", f"no {id_key}")
+        self.add_node(record[id_key])
+        self._record("node", record[id_key], {k: v for k, v in record.items() if k != id_key})
+
+    def add_edge_record(self, record: dict, source: str = "source", target: str = "target", weight: str = "weight") -> int:
+        """An edge of a record: its ends, its weight if it has one and, by name, its values. The edge's number."""
+        if record.get(source) is None or record.get(target) is None:
+            raise GraphError("E_INVALID_ID", f"no {source} or {target}")
+        e = self.add_edge(record[source], record[target], record.get(weight))
+        self._record("edge", e, {k: v for k, v in record.items() if k not in (source, target, weight)})
+        return e
+
+    def edge_endpoints(self, e: int) -> tuple:
+        """(source, target) of a live edge; another is E_INDEX_RANGE."""
+        found = self._edges().filter(F.col("e") == e).first()
+        if found is None:
+            raise GraphError("E_INDEX_RANGE", f"no edge {e}")
+        return found["source"], found["target"]
+
+    def edge_weight(self, e: int) -> float | None:
+        """The weight of a live edge, None where none was given; another edge is E_INDEX_RANGE."""
+        found = self._edges().filter(F.col("e") == e).first()
+        if found is None:
+            raise GraphError("E_INDEX_RANGE", f"no edge {e}")
+        return found["w"]
+
     def remove_nodes(self, ids: DataFrame) -> None:
         """Nodes (id) and the edges at them go."""
         k = self._next()

@@ -340,6 +340,18 @@ DIALECTS = {"json-vis": _vis, "json-graphology": _graphology, "json-jgf": _jgf,
 WRITERS = {"csv": _csv, "json": _json, "gexf": _gexf, "graphml": _graphml, "gml": _gml, "dot": _dot, "pajek": _pajek, "neo4j": _neo4j}
 
 
+def register(name: str, make, capabilities: dict) -> None:
+    """A further writer: make(g, kinds) gives head, node line, middle, edge line and tail, as those above; capabilities
+    are those of CAPABILITIES, for `check`."""
+    if set(capabilities) != set(CAPABILITIES["csv"]):
+        raise GraphError("E_INVALID_ARGUMENT", f"capabilities are {sorted(CAPABILITIES['csv'])}")
+    WRITERS[name], CAPABILITIES[name] = make, dict(capabilities)
+
+
+def formats() -> list[str]:
+    return sorted(WRITERS | DIALECTS)
+
+
 def write(g: Graph, path: str, format: str) -> list[tuple[str, str]]:
     """Write a graph as a folder of text parts that, in the order of their names, are the document; also what was lost."""
     notes = check(g, format)
