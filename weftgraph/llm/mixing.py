@@ -110,13 +110,14 @@ def mix_documents(docs: DataFrame, ratio: float = 1.5, repeats: int = 2, weights
     """The mixed corpus: each row of docs as often as the mix takes it (0 to repeats times), with its turn.
 
     Texts are shuffled once, to meet the result of `mix` by row_key and source. Rows alike in doc_id, text and source
-    share the copies of all of them evenly, the remainder going to any; they meet in one task, which sorts them.
+    share the copies of all of them evenly, the remainder going to the first by a hash of all their columns; they meet
+    in one task, which sorts them.
     """
     key, src, many, rows, n = (free_name(docs, x) for x in ("mix_key", "mix_source", "mix_copies", "mix_rows", "mix_n"))
     turn = free_name(docs, "mix_turn")
     plan = mix(docs, ratio, repeats, weights).groupBy(F.col("row_key").alias("k_"), F.col("source").alias("s_")).agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_")).filter("copies_ > 0")
     own = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).withColumn(src, F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     plan = plan.select(F.col("k_").alias(key), F.coalesce(F.concat(F.lit("="), "s_"), F.lit("")).alias(src), F.col("copies_").alias(many), F.col("rows_").alias(rows))
-    hit = own.join(plan, [key, src]).withColumn(n, F.row_number().over(Window.partitionBy(key, src).orderBy(F.lit(1))))
+    hit = own.join(plan, [key, src]).withColumn(n, F.row_number().over(Window.partitionBy(key, src).orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))))
     share = F.floor(F.col(many) / F.col(rows)) + (F.col(n) <= F.col(many) % F.col(rows)).cast("int")
     return hit.withColumn(many, share).filter(F.col(many) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns, turn)
