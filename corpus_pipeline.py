@@ -45,7 +45,8 @@ STAGES = [
     ("mixing sources to target weights", mix),
 ]
 
-#: A learned classifier and keyed permutations aren't SQL; tests hold the stages against brute force.
+#: A learned classifier and keyed permutations aren't SQL. Tests hold each stage against planted cases, and the operators
+#: it calls against brute force.
 ORACLE_SQL = None
 
 
