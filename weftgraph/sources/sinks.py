@@ -25,7 +25,7 @@ CAPABILITIES = {
     "csv": {"nodes": False, "mixed": True, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
     "json": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
     "gexf": {"nodes": True, "mixed": True, "attributes": True, "nested": True, "parallel": True, "ids": "any"},
-    "graphml": {"nodes": True, "mixed": True, "attributes": True, "nested": True, "parallel": True, "ids": "any"},
+    "graphml": {"nodes": True, "mixed": True, "attributes": True, "nested": True, "parallel": True, "ids": "nmtoken"},
     "gml": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "integer"},
     "dot": {"nodes": True, "mixed": False, "attributes": True, "nested": False, "parallel": True, "ids": "any"},
     "pajek": {"nodes": True, "mixed": True, "attributes": False, "nested": False, "parallel": True, "ids": "renumbered"},
@@ -57,6 +57,10 @@ def check(g: Graph, format: str) -> list[tuple[str, str]]:
         n = g.edges.filter(~F.col("directed")).count()
         if n:
             notes.append(("mixed-direction", str(n)))
+    if can["ids"] == "nmtoken":  # written changed; our reader changes them back
+        bad = g.nodes.filter(~F.col("id").cast("string").rlike(r"\A[A-Za-z0-9_:.\-]+\z")).count()
+        if bad:
+            notes.append(("ids", str(bad)))
     if can["ids"] in ("integer", "renumbered") and g.nodes.schema["id"].dataType.simpleString() not in ("bigint", "int"):
         notes.append(("ids", "renumbered"))
     if format in ("gml", "json") and g.weighted and g.edges.filter(F.abs("w") == float("inf")).limit(1).count():
