@@ -143,6 +143,27 @@ def plain_shingles(text):
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
+def test_shingles_of_few_words():
+    """Blocks of fewer words than a shingle, in one text or in several."""
+    import pyarrow as pa
+    from weftgraph.llm import _shingles as S
+
+    for size in (2, 5):
+        for texts in (["a"], ["a b"], ["a b c"], ["a b c d"], ["a b c d e"], ["a", "", "b"], ["a b", None, "a b", "c"], [""]):
+            h, first = S.shingles(S.words(pa.array(texts)), size)
+            of = lambda t: len(set(zip(*[t.split()[i:] for i in range(size)], strict=False))) or min(len(t.split()), 1)
+            assert np.diff(first).tolist() == [of(t or "") for t in texts]
+            one = {t: tuple(h[a:b]) for t, a, b in zip(texts, first[:-1], first[1:], strict=True)}
+            assert len(set(one.values())) == len({(t or "") for t in texts})
+
+
+def test_jaccard_partitions_of_few_words(spark):
+    rows = [(1, "one two"), (2, "One TWO"), (3, "one two three"), (4, "one"), (5, None)]
+    docs = docs_of(spark, rows).repartition(5, "doc_id")
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4), (5, 0, 5)]
+
+
 def plain_components(rows):
     sets = [(i, plain_shingles(t)) for i, t in rows]
     label = list(range(len(sets)))

@@ -134,7 +134,7 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(first[-1], U)
     if len(w.hash):
         total = np.zeros(len(w.hash), U)
-        for k in range(size):
+        for k in range(min(size, len(w.hash))):  # a block may have fewer words than a shingle
             total[: len(w.hash) - k] += w.hash[k:] * U(pow(_STEP, k + 1, 1 << 64))
         long = np.repeat(n >= size, count)
         at = np.arange(first[-1]) + np.repeat(w.first[:-1] - first[:-1], count)
