@@ -877,6 +877,28 @@ def test_scratch_tables_go(spark):
         spark.read.parquet(path)
 
 
+def test_license_of_one_long_line(spark):
+    """The work of a unit is in proportion to its length: a count of its words for each of its tokens took minutes."""
+    import time
+
+    from weftgraph.llm._licence_texts import FUNCTION_WORDS
+
+    r = random.Random(3)
+    words = [w for w in " ".join(t for _, t in licenses.TEMPLATES).split() if w.lower() not in FUNCTION_WORDS]
+    long = " ".join(r.choice(words).replace(".", "") + str(i) if i % 99 else r.choice(words).replace(".", "") for i in range(60_000))
+    files = spark.createDataFrame([("a/x", long), ("a/LICENSE", "Released under the MIT License.")], "path string, text string")
+    licenses.scan(files.limit(1)).collect()  # plans and code are made once
+    start = time.time()
+    assert sorted((r["path"], r["licence"], r["via"]) for r in licenses.scan(files).collect()) == [("a/LICENSE", "MIT", "file"), ("a/x", "MIT", "inherited")]
+    assert time.time() - start < 60
+
+
+def test_license_lookup(spark):
+    table = {f"w{i}": i / 7 for i in range(300)}
+    got = spark.createDataFrame([(f"w{i}",) for i in range(310)] + [("",), (None,)], "t string").select("t", licenses._looked_up(table, F.col("t")).alias("v")).collect()
+    assert len(got) == 312 and all(r["v"] == table.get(r["t"]) for r in got)
+
+
 # long texts and repeats of one piece, in every operator
 
 

@@ -8,8 +8,8 @@ the best template of cosine LEAST or more is its licence, and the best unit's li
 Cosines are computed for units that can reach LEAST, and no unit that can is left out: by Cauchy and Schwarz a unit's
 cosine with a template is at most the length of the template's part that the unit holds. So a unit must hold a token of
 each template's heaviest part (what is left has a length below LEAST), and the squares of the greatest weights of the
-tokens it holds must add up to LEAST squared. Both are tested where the text lies; only tokens of units that pass are
-shuffled. They are joined to the template weights (tables of fixed size), products summed, and divided by the norms.
+tokens it holds must add up to LEAST squared; and so must that sum (1 at most) times the share of the unit's squared
+length that lies in tokens of templates. All are tested where the text lies; only units that pass are shuffled. They are joined to the template weights (tables of fixed size), products summed, and divided by the norms.
 
 A file is the licence file of its directory if its name says so, or if its licence units hold at least SHARE of its
 words. A file with no licence of its own takes that of the nearest directory above it with a licence file, found by
@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch
+from ._common import WORD, Scratch, let
 from ._licence_texts import FUNCTION_WORDS, TEMPLATES, TEXTS
 
 LEAST, SHARE = 0.5, 0.2
@@ -68,6 +69,11 @@ def idf_rows() -> list[tuple[str, float]]:
     return [(t, round(math.log((1 + len(TEMPLATES)) / (1 + k)) + 1, 12)) for t, k in sorted(df.items())]
 
 
+def lowest(least: float) -> float:
+    """The square of the lowest cosine that is least when it is rounded to four places, with room for rounding."""
+    return (least - 5.1e-5) ** 2
+
+
 def gate(least: float = LEAST) -> list[str]:
     """Tokens of which every unit with a cosine of least or more holds one: of each template the heaviest, until the
     squares of the others add up to less than least squared."""
@@ -78,7 +84,7 @@ def gate(least: float = LEAST) -> list[str]:
     for row in by.values():
         left = sum(w * w for w, _ in row)
         for w, t in sorted(row, reverse=True):
-            if left < least * least - 1e-9:
+            if left < lowest(least):
                 break
             out.add(t)
             left -= w * w
@@ -112,30 +118,54 @@ def units(text: Column) -> Column:
     return F.concat(told(F.split(text, BREAK, -1), 0), told(whole, 1))
 
 
-def classified(files: DataFrame, least: float = LEAST) -> DataFrame:
+def _looked_up(table: dict[str, float], token: Column, buckets: int = 64) -> Column:
+    """table[token], or null: a map's keys are gone through one by one, so each bucket of a hash has a map."""
+    by: list[list[str]] = [[] for _ in range(buckets)]
+    for t in sorted(table):
+        by[zlib.crc32(t.encode()) % buckets].append(t)
+    maps = F.array(*[F.create_map(*[F.lit(x) for t in part for x in (t, table[t])]) if part else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")) for part in by])
+    return F.element_at(F.element_at(maps, (F.crc32(token.cast("binary")) % buckets + 1).cast("int")), token)
+
+
+def classified(files: DataFrame, least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
     """(path, digest, licence, cosine, words): the best template of each file that has one, and the words of its
     units of that cosine or more (of its lines and sentences, or of a larger paragraph). files: path, text."""
     spark = files.sparkSession
     rows, unknown = weights()
-    least_square = least * least - 1e-9
+    least_square = lowest(least)
     heavy = f"(?i)(?<![a-z0-9])(?:{_trie(gate(least))})(?![a-z0-9])"
     most: dict[str, float] = {}
     for _, _, t, w in rows:
         most[t] = max(most.get(t, 0.0), w * w)
-    bound = F.create_map(*[F.lit(x) for t, w in sorted(most.items()) for x in (t, w)])
     lower = lambda c: F.translate(c, CAPITALS, SMALLS)
     listed = lambda c: F.regexp_extract_all(lower(c), F.lit(JVM_TOKEN), F.lit(0))
-    mass = lambda u: F.aggregate(F.array_distinct(listed(u)), F.lit(0.0), lambda s, t: s + F.coalesce(F.element_at(bound, t), F.lit(0.0)))
-    able = lambda x: F.when(x["unit"].rlike(heavy), mass(x["unit"]) >= least_square).otherwise(False)
-    some = files.filter(F.col("text").rlike(heavy)).select("path", F.xxhash64("text").alias("digest"), F.posexplode(F.filter(units(F.col("text")), able)).alias("no", "u")).distinct()
-    some = some.select("path", "digest", "no", F.col("u.sort").alias("sort"), F.col("u.unit").alias("unit"))
-    plain = F.array(*[F.lit(w) for w in sorted(FUNCTION_WORDS)])
-    tf = some.select("path", "digest", "no", "sort", F.size(F.regexp_extract_all("unit", F.lit(WORD), F.lit(0))).alias("words"), F.explode(F.filter(listed(F.col("unit")), lambda t: ~F.array_contains(plain, t))).alias("token"))
+    known, idf2 = sorted(most), {t: w * w for t, w in idf_rows()}
+    square = lambda t: F.when(t.isin(known), _looked_up(idf2, t)).otherwise(F.lit(unknown * unknown))
+    mass = lambda ts: F.aggregate(F.array_distinct(F.filter(ts, lambda t: t.isin(known))), F.lit(0.0), lambda s, t: s + _looked_up(most, t))
+
+    def share(ts: Column) -> Column:
+        """The part of a unit's squared length that lies in tokens of templates: an odd number for each repeat of a token
+        makes the square of their count."""
+        def step(s: Column, t: Column) -> Column:
+            run = F.when(s["t"] == t, s["run"] + 2).otherwise(F.lit(1.0))
+            return let(run * square(t), lambda v: F.struct(t.alias("t"), run.alias("run"), (s["all"] + v).alias("all"), (s["known"] + F.when(t.isin(known), v).otherwise(0.0)).alias("known")))
+
+        start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("run"), F.lit(0.0).alias("all"), F.lit(0.0).alias("known"))
+        return F.aggregate(F.sort_array(F.filter(ts, lambda t: ~t.isin(sorted(FUNCTION_WORDS)))), start, step, lambda s: s["known"] / s["all"])
+
+    held = lambda ts, m: F.when(m >= least_square, F.least(m, F.lit(1.0)) * share(ts) >= least_square).otherwise(False)
+    able = lambda x: F.when(x["unit"].rlike(heavy), let(listed(x["unit"]), lambda ts: let(mass(ts), lambda m: held(ts, m)))).otherwise(False)
+    # what is beside a generator in its select would be computed for each row that it makes
+    some = files.filter(F.col("text").rlike(heavy)).select("path", F.xxhash64("text").alias("digest"), "text")
+    some = some.select("path", "digest", F.posexplode(F.filter(units(F.col("text")), able)).alias("no", "u")).distinct()
+    some = some.select("path", "digest", "no", F.col("u.sort").alias("sort"), F.col("u.unit").alias("unit"), F.regexp_count("u.unit", F.lit(WORD)).alias("words"))
+    tf = some.select("path", "digest", "no", "sort", "words", F.explode(F.filter(listed(F.col("unit")), lambda t: ~t.isin(sorted(FUNCTION_WORDS)))).alias("token"))
     key = ["path", "digest", "no"]
     tf = tf.groupBy(*key, "token").agg(F.count("*").alias("tf"), F.first("words").alias("words"), F.first("sort").alias("sort"))
     idf = F.broadcast(_values(spark, idf_rows(), "token, idf"))  # fixed size
     templates = F.broadcast(_values(spark, rows, "template, licence, token, weight"))  # fixed size
     tf = tf.join(idf, "token", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    tf = (scratch or Scratch(spark)).table(tf.select(*key, "token", "v", "words", "sort"), "tf")  # read for norms and for products
     norms = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.first("words").alias("words"), F.first("sort").alias("sort"))
     dots = tf.join(templates, "token").groupBy(*key, "template", "licence").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]
@@ -162,7 +192,7 @@ def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFr
     scratch = Scratch(files.sparkSession)
     given = [c for c in files.columns if c.lower() not in ("licence", "cosine", "via", "from_directory")]
     files = files.select("path", "text", F.struct(*[F.col(f"`{c}`") for c in given]).alias("row_"))
-    own = classified(files, least).select(F.col("path").alias("p_"), F.col("digest").alias("d_"), F.col("licence").alias("own_"), F.col("cosine").alias("cosine_"), F.col("words").alias("words_"))
+    own = classified(files, least, scratch).select(F.col("path").alias("p_"), F.col("digest").alias("d_"), F.col("licence").alias("own_"), F.col("cosine").alias("cosine_"), F.col("words").alias("words_"))
     own = scratch.table(own, "own")
     told = files.withColumn("digest_", F.xxhash64("text")).withColumn("dir_", directory(F.col("path")))
     is_own = F.col("path").eqNullSafe(F.col("p_")) & (F.col("digest_") == F.col("d_"))
