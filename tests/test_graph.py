@@ -451,3 +451,19 @@ def test_scratch_of_iterated_algorithms_stays_small(spark, tmp_path_factory):
             assert sum(len(os.listdir(s.root)) for s in made if os.path.isdir(s.root)) <= 6
     finally:
         tables_.Scratch.__init__ = first
+
+
+def test_work_by_source_takes_many_arcs(spark):
+    """More arcs than 64 for each of 5,000 nodes, most of them heavier than a way round; few are held."""
+    n = 40
+    every = spark.range(330_000).select(F.col("id").alias("e"), (F.col("id") % n).alias("src"), ((F.col("id") + 1 + F.col("id") % 3 * 7) % n).alias("dst"), (F.col("id") % 997 + 1).cast("float").alias("w"))
+    g = from_edge_arrays(every, n, directed=False, weighted=True)
+    half = {}
+    for s, d, w in every.groupBy("src", "dst").agg(F.min("w")).collect():
+        for a, b in ((s, d), (d, s)):
+            half[a, b] = min(w, half.get((a, b), math.inf))
+    want = {(s, t): d for s in range(n) for t, d in dijkstra(n, [(a, b, w) for (a, b), w in half.items()], s).items()}
+    assert {(r["src"], r["dst"]): r["distance"] for r in algorithms.all_pairs_shortest_paths(g).collect()} == want
+    assert len(algorithms._kept(g, None)[1]) < 2_000
+    harmonic = dict(rows(algorithms.closeness_centrality(g), "idx", "harmonic"))
+    assert all(abs(harmonic[s] - sum(1 / want[s, t] for t in range(n) if t != s)) < 1e-9 for s in range(n))
