@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.errors import GraphError
 from weftgraph.functions import text as T
 from weftgraph.graph import Graph
-from weftgraph.sources import formats, parsers, sinks
+from weftgraph._tables import Scratch
+from weftgraph.sources import formats, parsers, sinks, split
 
 FILES = {
     "csv": ("a.csv", "Source,Target,Weight,Type,Label\na,b,1.5,Directed,x\nb,c,,Undirected,\n,c,1,Directed,\nc,d,x,Directed,\nc,d,Infinity,Directed,y\n"),
@@ -178,3 +179,55 @@ def test_text_functions(spark):
 
     values = [0, 1, 12345, 2**32 - 1]
     assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(T.lowbias32_col(F.col("v"))).collect()] == [mix(v) for v in values]
+
+
+def _listed(rows):
+    """What a graph is made of: nodes and edges in their order, and the graph's own element."""
+    return [[(r["id"], r["target"], r["weight"], r["directed"], r["attrs"]) for r in rows.filter(F.col("kind") == k).orderBy("seq").collect()] for k in "gne"]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """300 nodes with odd labels, 900 edges with an attribute and some weights left out."""
+    nodes = spark.range(300).select(F.col("id").alias("idx"), F.concat(F.lit('n "'), F.col("id")).alias("id"), F.element_at(F.array(*[F.lit(x) for x in ("x<y", "a, b", "c;", "[d]", "{e},", "é")]), (F.col("id") % 6 + 1).cast("int")).alias("label"))
+    edges = spark.range(900).select(F.col("id").alias("e"), (F.col("id") % 300).alias("src"), (F.col("id") * 7 % 300).alias("dst"), F.when(F.col("id") % 5 != 0, F.col("id") / 4).cast("float").alias("w"), (F.col("id") % 11).cast("int").alias("n"))
+    return Graph(nodes, edges, True, True)
+
+
+@pytest.mark.parametrize("format", [*sinks.WRITERS, *sinks.DIALECTS])
+def test_pieces_are_the_whole(spark, tmp_path, many, monkeypatch, format, directed=True):
+    """A document of several parts, in blocks that cut it anywhere, gives what its text gives as a whole."""
+    sinks.write(many.with_(directed=directed), f"{tmp_path}/x", format)
+    monkeypatch.setattr(formats, "WHOLE", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        kind = format.split("-")[0]
+        got = formats._in_pieces(spark, f"{tmp_path}/x/part-*", kind, True, Scratch(spark))
+        whole = _listed(formats.elements(spark, f"{tmp_path}/x/part-*", kind, True))
+        found = _listed(got)
+        if kind == "csv":  # the direction follows from the edges' own
+            whole, found = whole[1:], found[1:]
+        assert found == whole and len(whole[-1]) == 900
+        assert formats.read(spark, f"{tmp_path}/x/part-*", kind, parts=True).graph.directed == directed or kind == "neo4j"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("format", "text"), [
+    ("csv", 'source,target,note\na,b,"x\ny"\n' + "a,b,c\n" * 40), ("json", json.dumps({"nodes": [{"id": 1}], "links": []}, indent=1)), ("json", '{"nodes":[\n{"id":"a"}\n,{"id":"b"}\n],"links":[\n{"source":0,"target":1}\n,{"source":1,"target":0}\n]}'),
+    ("gexf", "<gexf><graph><nodes>\n<node id='a'>\n<nodes>\n<node id='b'/>\n</nodes></node></nodes></graph></gexf>"), ("graphml", '<graphml><graph><!--\n<node id="a"/>\n--><node id="b"/></graph></graphml>'),
+    ("gml", 'graph [ comment "\nnode [ id 1 ]\n" node [ id 2 ] ]'), ("dot", 'digraph {\n"a" -> "b";\n"a" [x=1];\n}'), ("dot", 'digraph {\n"a" [x=1];\n"a" [y=1];\n}'), ("pajek", '*Vertices 3\n1 "a"\n*Arcs\n1 3\n'), ("neo4j", ":ID\na\na\n"),
+])
+def test_unfit_documents_are_read_whole(spark, tmp_path, monkeypatch, format, text):
+    (tmp_path / "x").write_text(text)
+    monkeypatch.setattr(formats, "WHOLE", 0)
+
+    def tell():
+        g = formats.read(spark, str(tmp_path / "x"), format, parts=True).graph
+        return [sorted(map(str, t.collect())) for t in (g.nodes, g.edges)]
+
+    got = tell()
+    monkeypatch.setattr(formats, "WHOLE", 1 << 40)
+    assert got == tell()
