@@ -467,3 +467,21 @@ def test_work_by_source_takes_many_arcs(spark):
     assert len(algorithms._kept(g, None)[1]) < 2_000
     harmonic = dict(rows(algorithms.closeness_centrality(g), "idx", "harmonic"))
     assert all(abs(harmonic[s] - sum(1 / want[s, t] for t in range(n) if t != s)) < 1e-9 for s in range(n))
+
+
+def test_repulsion_holds_a_tile():
+    """What a task holds for its bodies doesn't grow with the number of the others."""
+    import tracemalloc
+
+    n = 100_000
+    i = np.arange(n)
+    q, m = np.stack([i % 10, i // 10, 0 * i], 1).astype(float), i % 3 + 1.0
+    tracemalloc.start()
+    try:
+        got = layout._pairwise(q[:3], m[:3], q, m, 2.0, i[:3])
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+    for a in range(3):
+        d = np.delete(q[a] - q, a, 0)
+        assert np.allclose(got[a], (2.0 * m[a] * np.delete(m, a) / (d * d).sum(1))[:, None].T @ d)
